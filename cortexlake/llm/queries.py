@@ -26,6 +26,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cortexlake.llm.licenses import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cortexlake.llm.packing import best_fit_packing
 
@@ -39,9 +45,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cortexlake.llm.decontamination import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_minhash_near_dup, op3_secret_scan, op8_best_fit_packing, op9_quality_rules)}
+    return {f.__name__: f for f in (op2_minhash_near_dup, op3_secret_scan, op6_license_scan, op8_best_fit_packing, op9_quality_rules, op10_decontamination)}

@@ -1,5 +1,7 @@
 """SQL that the operators' queries must equal, where SQL can express them."""
 
+from cortexlake.llm import licenses
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_license_scan": licenses.oracle()}
