@@ -26,6 +26,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cortexlake.llm.passages import documents_with_repeats
+
+    return documents_with_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cortexlake.llm.licenses import license_scan
 
@@ -56,4 +62,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_minhash_near_dup, op3_secret_scan, op6_license_scan, op8_best_fit_packing, op9_quality_rules, op10_decontamination)}
+    return {f.__name__: f for f in (op2_minhash_near_dup, op3_secret_scan, op4_substring_dedup, op6_license_scan, op8_best_fit_packing, op9_quality_rules, op10_decontamination)}
