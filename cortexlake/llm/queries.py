@@ -14,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cortexlake.llm.language_id import language_id
+
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cortexlake.llm.near_dup import near_duplicates
 
@@ -32,6 +38,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_with_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cortexlake.llm.language_model import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cortexlake.llm.licenses import license_scan
 
@@ -62,4 +74,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_minhash_near_dup, op3_secret_scan, op4_substring_dedup, op6_license_scan, op8_best_fit_packing, op9_quality_rules, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op2_minhash_near_dup, op3_secret_scan, op4_substring_dedup, op5_lm_scoring, op6_license_scan, op8_best_fit_packing, op9_quality_rules, op10_decontamination)}
