@@ -50,6 +50,12 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cortexlake.llm.html_text import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cortexlake.llm.packing import best_fit_packing
 
@@ -74,4 +80,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_minhash_near_dup, op3_secret_scan, op4_substring_dedup, op5_lm_scoring, op6_license_scan, op8_best_fit_packing, op9_quality_rules, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op2_minhash_near_dup, op3_secret_scan, op4_substring_dedup, op5_lm_scoring, op6_license_scan, op7_html_extraction, op8_best_fit_packing, op9_quality_rules, op10_decontamination, pipeline)}
