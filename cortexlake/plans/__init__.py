@@ -1,0 +1,6 @@
+"""Named queries, by the operator they show."""
+
+from cortexlake.plans import arrays, tables, timelines  # noqa: F401
+from cortexlake.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
