@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from cortexlake.operators import events as ev
 from cortexlake.operators import signals as sg
+from cortexlake.operators import spectral as sp
 from cortexlake.operators import stats as st
+from cortexlake.operators.clusters import pca_clusters
+from cortexlake.operators.sources_density import inverse_source_density
+from cortexlake.operators.templates import REGIONS as REGION_ORDER
+from cortexlake.operators.templates import golden_template
 from cortexlake.plans.registry import S, query
 
 # Regions of a 32-channel probe.
@@ -256,3 +261,71 @@ def _(t):
     p = t.signal.groupBy(F.col("label").alias("session"), region.alias("region"), (ch - start).alias("pos")).agg(F.avg("v").alias("v"))
     template = t.spark.createDataFrame([("A", 14), ("B", 9), ("C", 41), ("D", 2)], "region string, target int")
     return sg.warp_to_template(p, template).select("session", "region", "row", F.round("v", 5).alias("v"), "status")
+
+
+@query("D42_cross_correlation", f"""SELECT x.lag, round(sum(x.v * y.v) / (SELECT sqrt(sum(CASE WHEN ch = 1 THEN v * v END) * sum(CASE WHEN ch = 2 THEN v * v END)) FROM {S} WHERE ch IN (1, 2)), 6) AS r
+    FROM (SELECT i, v, unnest(generate_series(-20, 20)) AS lag FROM {S} WHERE ch = 1) x JOIN (SELECT i, v FROM {S} WHERE ch = 2) y ON y.i = x.i + x.lag GROUP BY x.lag""")
+def _(t):
+    return sp.cross_correlation(t.signal, 1, 2, 20).select("lag", F.round("r", 6).alias("r"))
+
+
+@query("D32_standard_source_density", f"SELECT i, ch, round(csd, 2) AS csd FROM (SELECT i, ch, -0.3 / 0.00005 * (lag(v) OVER w - 2 * v + lead(v) OVER w) AS csd FROM {S} WINDOW w AS (PARTITION BY i ORDER BY ch)) WHERE csd IS NOT NULL")
+def _(t):
+    return inverse_source_density(t.signal, ["i"], 64, "standard").select("i", "ch", F.round("csd", 2).alias("csd"))
+
+
+@query("D32_delta_source_density")
+def _(t):
+    return inverse_source_density(t.signal, ["i"], 64, "delta")
+
+
+@query("D32_step_source_density")
+def _(t):
+    return inverse_source_density(t.signal, ["i"], 64, "step")
+
+
+@query("D09_band_pass")
+def _(t):
+    return sp.band_passed(t.signal, 1000, 25, 55)
+
+
+@query("D16_peaks")
+def _(t):
+    return sp.detected_peaks(t.signal, "v", 2.0, 100)
+
+
+@query("D15_envelope_peaks")
+def _(t):
+    return sp.detected_peaks(sp.band_passed(t.signal, 1000, 120, 180), "envelope", 2.0, 100)
+
+
+@query("D37_mean_psd")
+def _(t):
+    return sp.mean_psd(t.signal, 1000, 128)
+
+
+@query("A33_band_power")
+def _(t):
+    """Share of power in three bands and the strongest frequency of each channel."""
+    p = sp.mean_psd(t.signal, 1000, 128)
+    band = lambda lo, hi: (F.sum(F.when(F.col("hz").between(lo, hi), F.col("power"))) / F.sum("power"))
+    return p.groupBy("ch").agg(band(4, 12).alias("theta"), band(30, 50).alias("low_gamma"), band(70, 90).alias("high_gamma"), F.max_by("hz", "power").alias("peak_hz"))
+
+
+@query("D41_coherence")
+def _(t):
+    return sp.coherence(t.signal, 1, 2, 1000, 64)
+
+
+@query("D49_pca_clusters")
+def _(t):
+    return pca_clusters(t.embeddings, "vec_id", "embedding")
+
+
+@query("D36_golden_template")
+def _(t):
+    """Each label is a session whose regions are cut out of the channels by its number."""
+    cut = F.floor((F.col("ch") + F.col("label") % 5 - 4) / 7)
+    names = F.array(*map(F.lit, REGION_ORDER))
+    rows = t.signal.select(F.col("label").alias("session"), F.col("ch").alias("row"), F.when(cut.between(0, 7), F.get(names, cut.cast("int"))).alias("region")).distinct()
+    return golden_template(rows)
