@@ -95,8 +95,8 @@ def line_length_events(signal: DataFrame, fs: float, window_ms: float, percent:
     n = int(round(window_ms * fs / 1000))
     by_channel = Window.partitionBy("ch").orderBy("i")
     step = signal.withColumn("d", F.abs(F.lead("v").over(by_channel) - F.col("v")))
-    length = step.withColumn("ll", F.sum("d").over(by_channel.rowsBetween(0, n - 2))).withColumn("left", F.count(F.lit(1)).over(by_channel.rowsBetween(1, Window.unboundedFollowing)))
-    length = length.select("ch", "i", F.when(F.col("left") >= n, F.round("ll", 6)).alias("ll"))
+    length = step.withColumn("ll", F.sum("d").over(by_channel.rowsBetween(0, n - 2))).withColumn("far", F.lead("i", n).over(by_channel))
+    length = length.select("ch", "i", F.when(F.col("far").isNotNull(), F.round("ll", 6)).alias("ll"))
     high = length.join(F.broadcast(prctile(length, [], "ll", percent, "limit")), F.col("ll") >= F.col("limit")).select("ch", "i")
     marked = with_island(high.select("i").distinct().withColumn("one", F.lit(1)), ["one"], "i", 1)
     runs = marked.groupBy("one", "island").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))

@@ -62,8 +62,7 @@ def _(t):
 def _(t):
     w = Window.partitionBy("ch").orderBy("i")
     step = t.signal.withColumn("d", F.abs(F.lead("v").over(w) - F.col("v")))
-    left = F.count(F.lit(1)).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return step.select("ch", "i", F.when(left >= 5, F.round(F.sum("d").over(w.rowsBetween(0, 3)), 5)).alias("ll"))
+    return step.select("ch", "i", F.when(F.lead("i", 5).over(w).isNotNull(), F.round(F.sum("d").over(w.rowsBetween(0, 3)), 5)).alias("ll"))
 
 
 @query("D19_line_length_events")
