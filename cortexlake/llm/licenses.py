@@ -1,7 +1,7 @@
 """License recognition by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences; each is normalised and looked up among known license sentences, which gives the text
-a sequence of sentence ids. A rule is an ordered sequence of ids; it matches where its ids follow one another with no other
+A text is normalised and cut at the ends of lines and clauses; runs of pieces that make up a known license sentence, however it is
+wrapped, give the text a sequence of sentence ids. A rule is an ordered sequence of ids; it matches where its ids follow one another with no other
 known sentence between them.
 """
 
@@ -67,13 +67,24 @@ RULES = (
 )
 #: The rule with more sentences stands in for the one whose sentences it begins with.
 REPLACES = {"BSD-3-Clause": "BSD-2-Clause"}
-_END = r"[.!?;:]+(\s|$)"
+#: Stands for the end of a clause while texts are normalised.
+_CUT = "\x01"
 
 
 def _ids(text: Column) -> Column:
+    r"""The ids of a text's known sentences in order.
+
+    A text becomes its lower-case words with a space between them, a line break where a line or a clause ends, and more
+    than one where a blank line stood, comment marks or not. A known sentence fills whole pieces between breaks, as many as
+    it takes, but no blank line; of those that begin at one place the longest counts.
+    """
     known = F.create_map(*(F.lit(x) for kv in SENTENCES.items() for x in kv))
-    plain = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _END, "\n"), "[^a-z0-9\n]+", " ")
-    return F.filter(F.transform(F.split(plain, "\n"), lambda s: F.try_element_at(known, F.trim(s))), lambda x: x.isNotNull())
+    plain = F.regexp_replace(F.lower(F.translate(F.coalesce(text, F.lit("")), _CUT, " ")), "\r\n?", "\n")
+    for pattern, by in ((r"[.!?;:](?=\s|\z)", _CUT), (f"[^a-z0-9\n{_CUT}]+", " "), (f"[ {_CUT}]{{2,}}", _CUT), (f"[ {_CUT}]?\n[ {_CUT}]?", "\n")):
+        plain = F.regexp_replace(plain, pattern, by)
+    any_of = "|".join(x.replace(" ", r"[ \n]") for x in sorted(SENTENCES, key=len, reverse=True))
+    found = F.regexp_extract_all(F.btrim(F.translate(plain, _CUT, "\n"), F.lit(" \n")), F.lit(f"(?<![^\n])(?:{any_of})(?![^\n])"), 0)
+    return F.transform(found, lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
 
 
 def _sequence(ids: tuple[str, ...]) -> str:
@@ -100,7 +111,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB."""
+    """The same in DuckDB for texts whose known sentences stand in one piece; sentences over several pieces aren't in it."""
     known = ", ".join(f"('{k}', '{v}')" for k, v in SENTENCES.items())
     by_name: dict[str, str] = {}
     for name, rule in RULES:

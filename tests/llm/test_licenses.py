@@ -25,3 +25,60 @@ def test_odd_rows_and_nothing(spark):
     out = license_scan(odd_documents(spark))
     assert out.count() == odd_documents(spark).count() and out.filter("licenses != ''").count() == 0
     assert license_scan(none_of(documents(spark))).count() == 0
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 A. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+GPL = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+def test_verbatim_texts_wrapped_and_in_comments(spark):
+    texts = [(MIT, "MIT"), (BSD, "BSD-2-Clause"), (ISC, "ISC"), (MPL, "MPL-2.0"), (GPL.format(":", ",", 3), "GPL-3.0"), (GPL.format(";", ";", 2), "GPL-2.0")]
+    rows = []
+    for text, name in texts:
+        for mark in ("", "# ", " * ", "// ", ";; "):
+            rows.append((len(rows), "".join(f"{mark}{x}\n" for x in text.splitlines()), name))
+        rows.append((len(rows), text.replace("\n", "\r\n"), name))
+        rows.append((len(rows), " ".join(text.split()).replace("MIT License ", "MIT License. ").replace("Author ", "Author. "), name))
+    rows.append((len(rows), ISC.replace("any\n", "any\n\n"), ""))
+    rows.append((len(rows), "Not " + ISC, ""))
+    got = {r.doc_id: r.licenses for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string, licenses string")).collect()}
+    assert got == {i: name for i, _, name in rows}
