@@ -1,8 +1,8 @@
-"""Benchmark decontamination with spaced seeds, in DataFrame functions only.
+"""Benchmark decontamination with seeds that no overlap can be without, in DataFrame functions only.
 
-A seed is a fixed mask over twelve words that looks at six of them, so that a substituted word spoils only the seeds
-that look at it. Seeds of documents and of benchmark items with equal hashes are hits; around each hit the item is
-laid over the document and its words are compared one by one.
+An overlap leaves S of R words substituted at most. The others stand in S + 1 gaps, so (R - S) / (S + 1) of them, rounded up,
+follow one another untouched somewhere: an item's seeds are all its runs of so many words. Seeds of documents and of
+benchmark items with equal hashes are hits; around each hit the item is laid over the document and its words are compared.
 """
 
 from __future__ import annotations
@@ -10,15 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The word positions each mask looks at.
-MASKS = ((0, 1, 2, 4, 7, 9), (0, 2, 3, 6, 8, 11), (0, 1, 5, 7, 8, 10))
-SPAN = 12
+# The word positions each mask looks at; an item has the one that its size asks for.
+MASKS = ((0,), (0, 1), (0, 1, 2), (0, 1, 2, 3))
+#: Least words of items and documents.
+SPAN = 1
 #: An overlap counts if some run of this many words (or the whole of a shorter item) agrees in PERCENT of its places.
 RUN, PERCENT = 20, 80
 #: Benchmark tables with more words than this are joined by shuffling seeds instead of broadcasting them.
 BROADCAST_WORDS = 1_000_000
 
 SPACES = " \t\n\x0b\f\r"
+_WORD = r"[^\x20\x09-\x0D]"
 
 
 def _word_hashes(text: str) -> Column:
@@ -26,16 +28,20 @@ def _word_hashes(text: str) -> Column:
     return F.transform(F.split(trimmed, f"[{SPACES}]+"), lambda w: F.xxhash64(w))
 
 
-def _seed_keys(words: str, at: str) -> Column:
-    """One hash per mask of the words it looks at from position ``at``, counted from 0."""
-    return F.array(*(F.xxhash64(F.lit(m), *(F.get(F.col(words), F.col(at) + p) for p in mask)) for m, mask in enumerate(MASKS)))
+def seed_mask(size: int) -> int:
+    """Which mask serves items of ``size`` words."""
+    run = min(RUN, size)
+    spoiled = run * (100 - PERCENT) // 100
+    return -(-(run - spoiled) // (spoiled + 1)) - 1
 
 
-def _seeds(table: DataFrame, words: str, *keep: str) -> DataFrame:
-    """A row for each place and mask: ``keep``, ``words``, ``at`` and ``key``."""
-    long_enough = table.filter(F.size(words) >= SPAN)
-    placed = long_enough.select(*keep, words, F.explode(F.sequence(F.lit(0), F.size(words) - SPAN)).alias("at"))
-    return placed.select(*keep, words, "at", F.explode(_seed_keys(words, "at")).alias("key"))
+def _seeds(table: DataFrame, words: str, masks: Column, *keep: str) -> DataFrame:
+    """A row for each place and each of the row's ``masks`` that fits there: ``keep``, ``words``, ``at`` and ``key``."""
+    placed = table.select(*keep, words, masks.alias("masks"), F.explode(F.sequence(F.lit(0), F.size(words) - 1)).alias("at"))
+    word = lambda p: F.get(F.col(words), F.col("at") + p)
+    fits = lambda m: F.array_contains("masks", m) & (F.col("at") + len(MASKS[m]) <= F.size(words))
+    keys = F.array(*(F.when(fits(m), F.xxhash64(F.lit(m), *map(word, mask))) for m, mask in enumerate(MASKS)))
+    return placed.select(*keep, words, "at", F.explode(keys).alias("key")).filter("key is not null")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -43,30 +49,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``start`` is the document's word where the item's overlap begins, ``n_words`` how many of the item's words lie over
     the document there, ``n_equal`` how many agree. Where an item overlaps in several places, the one with most agreeing
-    words counts, then the first. Words are lower-cased. Null and empty texts have no words; items or documents with
-    fewer than SPAN words never match; rows with the same id are looked at one by one and reported once; items with
+    words counts, then the first. Words are lower-cased. Null and empty texts have no words and never match; rows with the same id are looked at one by one and reported once; items with
     the same id likewise; extra columns are ignored; empty tables give an empty result.
     """
-    items = benchmark.select("item_id", _word_hashes("text").alias("item_words"))
-    own = _seeds(items, "item_words", "item_id").select("key", "item_id", F.col("at").alias("item_at"), F.size("item_words").alias("item_size"), F.xxhash64("item_words").alias("item_key"))
-    n_words = items.agg(F.sum(F.size("item_words"))).first()[0] or 0
-    own = F.broadcast(own) if n_words <= BROADCAST_WORDS else own
-    of_docs = _seeds(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _word_hashes("text").alias("words")), "words", "doc_id")
+    items = benchmark.filter(F.col("text").rlike(_WORD)).select("item_id", _word_hashes("text").alias("item_words"))
+    by_run = items.groupBy(F.least(F.size("item_words"), F.lit(RUN)).alias("run")).agg(F.sum(F.size("item_words")).alias("n")).collect()
+    n_words, masks = sum(r.n for r in by_run), sorted({seed_mask(r.run) for r in by_run})
+    mask = F.array(F.element_at(F.array(*(F.lit(seed_mask(n)) for n in range(1, RUN + 1))), F.least(F.size("item_words"), F.lit(RUN))))
+    own = _seeds(items, "item_words", mask, "item_id").select("key", "item_id", F.col("at").alias("item_at"), F.size("item_words").alias("item_size"), F.xxhash64("item_words").alias("item_key"))
+    small = n_words <= BROADCAST_WORDS
+    own = F.broadcast(own) if small else own
+    worded = docs.filter(F.col("text").rlike(_WORD)).select(F.col("doc_id").cast("long").alias("doc_id"), _word_hashes("text").alias("words"))
+    of_docs = _seeds(worded, "words", F.array(*map(F.lit, masks)).cast("array<int>"), "doc_id")
     offset = F.col("at") - F.col("item_at")
     first = F.greatest(offset, F.lit(0))
     hits = of_docs.join(own, "key").select(
         "doc_id", "item_id", "item_key", offset.alias("offset"),
         F.slice("words", first + 1, F.col("item_size") - F.greatest(-offset, F.lit(0))).alias("over"),
-    ).distinct()
+    )
+    hits = hits if small else hits.distinct()
     whole = items.select(F.col("item_id").alias("w_id"), "item_words", F.xxhash64("item_words").alias("w_key")).distinct()
-    whole = F.broadcast(whole) if n_words <= BROADCAST_WORDS else whole
+    whole = F.broadcast(whole) if small else whole
     laid = hits.join(whole, F.col("item_id").eqNullSafe(F.col("w_id")) & (F.col("item_key") == F.col("w_key")))
     skipped = F.greatest(-F.col("offset"), F.lit(0))
     equal = F.zip_with("over", F.slice("item_words", skipped + 1, F.size("over")), lambda a, b: F.when(a == b, 1).otherwise(0))
     counted = laid.select("doc_id", "item_id", F.greatest("offset", F.lit(0)).alias("start"), equal.alias("equal"), F.least(F.lit(RUN), F.size("item_words")).alias("run"))
     total = lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + v)
     runs = F.sequence(F.lit(1), F.size("equal") - F.col("run") + 1)
-    good = counted.filter(F.size("equal") >= F.col("run")).filter(F.exists(runs, lambda i: total(F.slice("equal", i, F.col("run"))) * 100 >= F.col("run") * PERCENT))
+    enough = counted.filter(F.size("equal") >= F.col("run")).filter(total(F.col("equal")) * 100 >= F.col("run") * PERCENT)
+    good = enough.filter(F.exists(runs, lambda i: total(F.slice("equal", i, F.col("run"))) * 100 >= F.col("run") * PERCENT))
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct(total(F.col("equal")).alias("n_equal"), (-F.col("start")).alias("back"), F.size("equal").alias("n_words"))).alias("x"))
     return best.select("doc_id", "item_id", (-F.col("x.back")).alias("start"), "x.n_words", "x.n_equal")
 

@@ -1,7 +1,8 @@
+import itertools
 import random
 import re
 
-from cortexlake.llm.decontamination import MASKS, PERCENT, RUN, SPAN, contaminated, decontaminate
+from cortexlake.llm.decontamination import MASKS, PERCENT, RUN, SPAN, contaminated, decontaminate, seed_mask
 
 from tests.llm.helpers import DATA, WORD, documents, none_of, odd_documents
 
@@ -52,3 +53,28 @@ def test_odd_rows_and_nothing(spark):
     assert decontaminate(odd, benchmark).columns == odd.columns and decontaminate(odd, benchmark).count() == odd.count()
     assert contaminated(none_of(documents(spark)), benchmark).count() == 0
     assert contaminated(documents(spark), none_of(benchmark)).count() == 0
+
+
+def test_every_accepted_pattern_holds_a_seed():
+    for size in range(1, RUN + 1):
+        need = len(MASKS[seed_mask(size)])
+        for spoiled in range(size * (100 - PERCENT) // 100 + 1):
+            for gone in itertools.combinations(range(size), spoiled):
+                edges = [-1, *gone, size]
+                assert max(b - a - 1 for a, b in zip(edges, edges[1:])) >= need
+
+
+def test_short_items_and_all_their_substitutions(spark):
+    r = random.Random(4)
+    items = {n: [f"w{n}v{k}" for k in range(n)] for n in (1, 3, 5, 6, 9, 10, 12, 13, 15, 16, 20)}
+    texts, want = [], set()
+    for n, item in items.items():
+        patterns = [g for s in range(n // 5 + 2) for g in itertools.combinations(range(n), min(s, n))]
+        for gone in r.sample(patterns, min(len(patterns), 150)):
+            body = [f"x{k}" if k in gone else w for k, w in enumerate(item)]
+            if (n - len(gone)) * 100 >= n * PERCENT:
+                want.add((len(texts), n))
+            texts.append(" ".join(["before"] * r.randrange(3) + body + ["after"] * r.randrange(3)))
+    docs = spark.createDataFrame([*enumerate(texts), (-1, " \t"), (-2, None)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([*((n, " ".join(v)) for n, v in items.items()), (98, " "), (99, None)], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in contaminated(docs, benchmark).collect()} == want
