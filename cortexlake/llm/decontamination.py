@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cortexlake.llm.scratch import numbered
+
 # The word positions each mask looks at; an item has the one that its size asks for.
 MASKS = ((0,), (0, 1), (0, 1, 2), (0, 1, 2, 3))
 #: Least words of items and documents.
@@ -83,6 +85,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no item was found."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs.doc_id.cast("long").eqNullSafe(found._found), "left_anti")
+    """The rows of ``docs`` in which no item was found; rows with the same id or none are judged one by one."""
+    rows = numbered(docs)
+    found = contaminated(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(found, "_row", "left_anti").select(*docs.columns)

@@ -78,3 +78,10 @@ def test_short_items_and_all_their_substitutions(spark):
     docs = spark.createDataFrame([*enumerate(texts), (-1, " \t"), (-2, None)], "doc_id long, text string")
     benchmark = spark.createDataFrame([*((n, " ".join(v)) for n, v in items.items()), (98, " "), (99, None)], "item_id long, text string")
     assert {(x.doc_id, x.item_id) for x in contaminated(docs, benchmark).collect()} == want
+
+
+def test_rows_with_the_same_id_or_none_are_judged_one_by_one(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, item), (None, "a clean text"), (1, f"before {item}"), (1, "another clean text"), (None, None)]
+    out = decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
