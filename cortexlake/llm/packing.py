@@ -23,74 +23,86 @@ from cortexlake.llm.scratch import written
 
 SIZE = 1024
 END_ID = 2
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k"
 
 
 @lru_cache(2)
 def _encoding(vocabulary: str):
-    """The byte-level BPE of ``byte_bpe_50k.json``, read from its ranks: the same ids several times as fast."""
+    """The tokenizer of ``vocabulary``.json, read from the same vocabulary's ranks: the same ids several times as fast.
+
+    Its added tokens are cut out of the text before anything else, as that tokenizer does.
+    """
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
 
-    with open(public_tokenizers.path(vocabulary), "rb") as lines:
+    with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int]]:
     """Best-fit decreasing over counts: (length, first rank, how many, first sequence, offset) of each run of slots.
 
     Sequences with the same free space are kept as runs of numbers, so the work depends on ``size`` and not on
-    how many pieces there are.
+    how many pieces there are. A sequence that takes a piece is the tightest one for the next piece of that length, so each one
+    takes as many as fit before another is begun; of one run only the last may take fewer.
     """
     slots, free, spaces, opened = [], {}, [], 0
 
     def put(space: int, first: int, n: int) -> None:
-        if space not in free:
-            free[space] = []
-            insort(spaces, space)
-        free[space].append((first, n))
+        if space and n:
+            if space not in free:
+                free[space] = []
+                insort(spaces, space)
+            free[space].append((first, n))
 
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
         while left:
             i = bisect_left(spaces, length)
+            space = spaces[i] if i < len(spaces) else size
+            each = space // length
             if i < len(spaces):
-                space = spaces[i]
                 first, n = free[space].pop()
                 if not free[space]:
                     del free[space], spaces[i]
-                take = min(n, left)
-                if take < n:
-                    put(space, first + take, n - take)
             else:  # open as many new sequences as this length fills
-                space, first = size, opened
-                take = -(-left // (size // length))
-                opened += take
-            slots.append((length, rank, take, first, size - space))
-            if space > length:
-                put(space - length, first, take)
-            rank, left = rank + take, left - take
+                first, n = opened, -(-left // each)
+                opened += n
+            full = min(n, left // each)
+            rest = min(left - full * each, each) if full < n else 0
+            for at, many, k in ((first, full, each), (first + full, 1, rest)):
+                for j in range(k if many else 0):
+                    slots.append((length, rank, many, at, size - space + j * length))
+                    rank += many
+                put(space - k * length, at, many if k else 0)
+            used = full + (rest > 0)
+            put(space, first + used, n - used)
+            left -= full * each + rest
     return slots
 
 
 def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY) -> DataFrame:
     """Every document's pieces with the rank of each within its length and task.
 
-    A document's ids are those of its whole text and then END_ID. If there are more than ``size``, its first piece
+    A document's ids are those of its whole text, in which the vocabulary's added tokens count as such, and then END_ID. If there are more than ``size``, its first piece
     takes what is left over after full ones. Null text counts as empty: one piece of one id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(vocabulary).encode_to_numpy
+        encoding = _encoding(vocabulary)
+        encode, added = encoding.encode_to_numpy, encoding.special_tokens_set
         task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for b in batches:
             out = []
             ids_of = b.column("doc_id").to_pylist()
             for doc, text in zip(ids_of, b.column("text")):
-                ids = np.append(encode(text.as_py() or "", disallowed_special=()), END_ID).astype("<u4")
+                ids = np.append(encode(text.as_py() or "", allowed_special=added, disallowed_special=()), END_ID).astype("<u4")
                 at, k = 0, 0
                 cut = len(ids) % size or size
                 while at < len(ids):

@@ -2,7 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from cortexlake.llm.packing import best_fit_packing, plan
@@ -24,6 +24,7 @@ def best_fit_decreasing(counts, size):
 
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 20), st.integers(1, 40), max_size=12))
+@example({2: 29, 3: 38, 7: 1})
 def test_plan_places_every_piece_once(counts):
     size, seen, at = 20, Counter(), defaultdict(list)
     for length, rank, n, first, offset in plan(counts, size):
@@ -46,8 +47,8 @@ def test_round_trip(spark):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
-    docs = documents(spark)
+    extra = [(-1, "before<|endoftext|>after <|endoftext|>"), (-2, "<|endoftext|>"), (-3, "<|endoftext |> no"), (-4, "it's\u00a0 12  words\n\n \U0001f600")]
+    docs = documents(spark).select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
     texts = {r.doc_id: r.text for r in docs.collect()}
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in best_fit_packing(docs).collect():
