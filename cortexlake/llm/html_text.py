@@ -56,9 +56,13 @@ TOKEN = re.compile(r"[a-z0-9]+")
 
 
 class Tree:
-    """A page's block elements in page order (a parent before its children) and its blocks of text."""
+    """A page's block elements in page order (a parent before its children) and its blocks of text.
 
-    def __init__(self, source: str):
+    ``marked`` reads the marks of generated pages; in other pages that attribute means nothing.
+    """
+
+    def __init__(self, source: str, marked: bool = False):
+        self._marked = marked
         self.parent, self.kind, self.bad, self.good, self.mark = [-1], [KIND["body"]], [0], [0], [None]
         self.texts: list[tuple[int, list[str]]] = []
         self.links: dict[int, int] = {}
@@ -122,8 +126,8 @@ class Tree:
         if "=" in attributes:
             for name, *value in ATTRIBUTE.findall(attributes):
                 value = "".join(value).lower()
-                if name == P.MARK:
-                    mark = int(value)
+                if name.lower() == P.MARK:
+                    mark = int(value) if self._marked else None
                     continue
                 tokens = TOKEN.findall(value)
                 bad += sum(t in BAD_WORDS for t in tokens)
@@ -220,7 +224,7 @@ def features(t: Tree) -> np.ndarray:
 @lru_cache(1)
 def trained() -> Trees:
     r = random.Random(SEED)
-    trees = [Tree(P.page(r)) for _ in range(TRAINING_PAGES)]
+    trees = [Tree(P.page(r), marked=True) for _ in range(TRAINING_PAGES)]
     return fit_trees(np.concatenate([features(t) for t in trees]).astype(np.float64), np.concatenate([t.labels() for t in trees]).astype(np.float64))
 
 
