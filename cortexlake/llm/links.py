@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -33,17 +34,41 @@ def packed_texts(docs: DataFrame, key: str) -> DataFrame:
     return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, packed binary")
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """The rows again, cut so that rows with equal ``key`` stay together; they are sorted by it, and such groups are short."""
+    rest: pa.RecordBatch | None = None
+    for b in batches:
+        if not len(b):
+            continue
+        if rest is not None:
+            b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+        k = b.column(key).to_numpy()
+        cut = int(np.searchsorted(k, k[-1], "left"))
+        if cut:
+            yield b.slice(0, cut)
+        rest = b.slice(cut)
+    if rest is not None:
+        yield rest
+
+
+def lists_of(first: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Lists of longs; ``first`` tells where each begins (one more: the end)."""
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values, pa.int64()))
+
+
 def _is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
-def components(edges: DataFrame) -> DataFrame | None:
+def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame | None:
     """``node, root`` of every node that isn't its component's smallest, from links ``a < b``; None without links.
 
+    With ``labels`` of earlier links, the links are between their roots; the labels themselves come back if there are none.
+
     Each round hooks every node to its smallest neighbour, follows the pointers to their ends by doubling, and
     carries the links on to the ends until no link joins two components. Ids only; every round is a written table.
     """
-    live, labels = edges, None
+    live = edges
     while True:
         hook = written(live.groupBy("b").agg(F.min("a").alias("a")), "hooks")
         if _is_empty(hook):

@@ -23,7 +23,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cortexlake.llm.near_dup import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
