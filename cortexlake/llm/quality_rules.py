@@ -1,11 +1,13 @@
 """Quality rules with thresholds that follow the data.
 
-Each document gets four counts (word characters, symbols, repeated lines, words in repeated
-three-word windows). Their shares, in thousandths, go into mergeable quantile sketches per
-(language, source): histograms with buckets of a bounded relative width, so merging two sketches
-is adding counts and Spark's partial aggregation builds them without moving a document. A
-document is rejected when a share is beyond its group's upper fence, ``q75 + spread * (q75 - q25)
-+ slack``. Small groups use the sketch of their language, or of everything.
+Each document gets counts (word characters, symbols, repeated lines, words in repeated three-word windows). Its shares of
+them go into mergeable quantile sketches per (language, source): histograms with buckets of a bounded relative width, so merging two
+sketches is adding counts and Spark's partial aggregation builds them without moving a document. A group's fences are far
+quantiles of its sketch: TAIL thousandths of the documents lie beyond each. The fewer documents a group has, the more its
+fences lean on those of its language, and these on those of everything. A document beyond a fence of its group is rejected.
+
+A quantile is a bucket's lower end, and a share is held against fences as its bucket's lower end, too. So a share is taken for up to
+1/32 less than it is, and shares that one bucket holds are never told apart.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from cortexlake.llm.bytetext import Chunk, chunks, distinct_in_text, mix, span_h
 from cortexlake.llm.scratch import written
 
 SYMBOLS = b"#*$%&|<>"
-#: Share -> slack in thousandths: what a document may exceed a group's fence by, so that a constant group tolerates a little.
-SLACK = {"symbol_share": 50, "dup_line_share": 400, "repeat_share": 300}
-SPREAD = 3
-#: Groups with fewer documents use the next larger one.
-LEAST_DOCS = 200
+#: Share -> if there is a fence below it and one above it.
+SHARES = {"symbol_share": (False, True), "dup_line_share": (False, True), "repeat_share": (False, True), "word_length": (True, True)}
+SIDES = [(k, side) for k, both in SHARES.items() for side, there in zip(("least", "most"), both) if there]
+#: Thousandths of a group's documents beyond each fence.
+TAIL = 10
+#: A group of this many documents leans on the wider group's fences as much as on its own.
+LEAN = 200
 #: Sketch buckets are exact below 2**SKETCH_BITS and of relative width 2**(1-SKETCH_BITS) above.
 SKETCH_BITS = 6
 
@@ -92,10 +96,13 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def shares(counts: DataFrame) -> DataFrame:
+    """Adds the shares in thousandths, the mean length of words in hundredths, and ``base_failed``."""
     return (
         counts.withColumn("symbol_share", F.when(F.col("word_chars") > 0, F.expr("n_symbols * 1000 div word_chars")).otherwise(0))
         .withColumn("dup_line_share", F.when(F.col("n_lines") > 0, F.expr("n_dup_lines * 1000 div n_lines")).otherwise(0))
         .withColumn("repeat_share", F.when(F.col("n_words") > 0, F.expr("n_repeat_words * 1000 div n_words")).otherwise(0))
+        .withColumn("word_length", F.when(F.col("n_words") > 0, F.expr("word_chars * 100 div n_words")).otherwise(0))
+        .withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
     )
 
 
@@ -105,12 +112,15 @@ def _bucket(x: str) -> Column:
     return F.expr(f"shiftleft(shiftright({x}, {drop}), {drop})")
 
 
-def fences(table: DataFrame) -> DataFrame:
-    """Upper fence per (level, lang, source, share) from the merged sketches; level 0 is (lang, source), 1 lang, 2 all."""
-    long = table.select(
+def quantiles(table: DataFrame) -> DataFrame:
+    """Number of documents and far quantiles per (level, lang, source) from the merged sketches; level 0 is (lang, source), 1 lang, 2 all.
+
+    Documents that fail the base rule are in no sketch.
+    """
+    long = table.filter("not base_failed").select(
         "lang",
         "source",
-        F.explode(F.array(*(F.struct(F.lit(k).alias("share"), _bucket(k).alias("bucket")) for k in SLACK))).alias("x"),
+        F.explode(F.array(*(F.struct(F.lit(k).alias("share"), _bucket(k).alias("bucket")) for k in SHARES))).alias("x"),
     ).select("lang", "source", "x.share", "x.bucket")
     finest = long.groupBy("lang", "source", "share", "bucket").agg(F.count(F.lit(1)).alias("n"))
     levels = (
@@ -122,44 +132,53 @@ def fences(table: DataFrame) -> DataFrame:
     group = Window.partitionBy("level", "lang", "source", "share")
     upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     placed = sketch.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(group))
-    at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("bucket")))
-    slack = F.element_at(F.create_map(*(F.lit(x) for kv in SLACK.items() for x in kv)), F.col("share"))
-    ends = placed.groupBy("level", "lang", "source", "share").agg(at(25).alias("q25"), at(75).alias("q75"), F.max("total").alias("total"))
-    return ends.select("level", "lang", "source", "share", "total", (F.col("q75") + SPREAD * (F.col("q75") - F.col("q25")) + slack).alias("fence"))
+    beyond = {"least": TAIL, "most": 1000 - TAIL}
+    at = lambda k, side: F.min(F.when((F.col("share") == k) & (F.col("upto") * 1000 >= F.col("total") * beyond[side]), F.col("bucket")))
+    return placed.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *(at(k, side).alias(f"{k}_{side}") for k, side in SIDES))
 
 
 def group_fences(table: DataFrame) -> DataFrame:
-    """One row per (lang, source) of ``table``, null values included, with the fences that hold for it."""
-    wide = fences(table).groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *(F.max(F.when(F.col("share") == k, F.col("fence"))).alias(k) for k in SLACK))
-    packed = F.struct("total", *SLACK)
+    """One row per (lang, source) of ``table``, null values included, with the fences that hold for it.
+
+    A group's fence is its own quantile and the wider group's fence, weighed as its number of documents to LEAN. There are
+    as many rows as groups, and the sketches behind them are written once.
+    """
+    wide = written(quantiles(table), "quality-quantiles")
+    packed = F.struct("total", *(f"{k}_{side}" for k, side in SIDES))
     by_lang = wide.filter("level = 1").select(F.col("lang").alias("b_lang"), packed.alias("b"))
     every = wide.filter("level = 2").select(F.col("level").alias("c_level"), packed.alias("c"))
-    pick = lambda k: F.when(F.col("a.total") >= LEAST_DOCS, F.col(f"a.{k}")).when(F.col("b.total") >= LEAST_DOCS, F.col(f"b.{k}")).otherwise(F.col(f"c.{k}"))
+
+    def leaning(k: str) -> Column:
+        fence = F.col(f"c.{k}")
+        for level in ("b", "a"):
+            fence = (F.col(f"{level}.total") * F.col(f"{level}.{k}") + LEAN * fence) / (F.col(f"{level}.total") + LEAN)
+        return fence.alias(f"fence_{k}")
+
     return (
         wide.filter("level = 0")
         .select("lang", "source", packed.alias("a"), F.lit(2).alias("top"))
         .join(by_lang, F.col("lang").eqNullSafe(F.col("b_lang")))
         .join(every, F.col("top") == F.col("c_level"))
-        .select(F.col("lang").alias("_g_lang"), F.col("source").alias("_g_source"), *(pick(k).alias(f"{k}_fence") for k in SLACK))
+        .select(F.col("lang").alias("_g_lang"), F.col("source").alias("_g_source"), *(leaning(f"{k}_{side}") for k, side in SIDES))
     )
 
 
 def judge(table: DataFrame, groups: DataFrame) -> DataFrame:
-    """``table``, with counts and shares, joined with its groups' fences; adds ``base_failed`` and ``kept``."""
+    """``table``, with counts and shares, joined with its groups' fences; adds ``kept``."""
     joined = table.join(groups, F.col("lang").eqNullSafe(F.col("_g_lang")) & F.col("source").eqNullSafe(F.col("_g_source")), "left").drop("_g_lang", "_g_source")
-    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    within = F.lit(True)
-    for k in SLACK:
-        within = within & (F.col(k) <= F.col(f"{k}_fence"))
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & within)
+    within = ~F.col("base_failed")
+    for k, side in SIDES:
+        fence = F.col(f"fence_{k}_{side}")
+        within = within & (_bucket(k) >= fence if side == "least" else _bucket(k) <= fence)
+    return joined.withColumn("kept", F.coalesce(within, F.lit(False)))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per document with its counts, shares, fences, ``base_failed`` and ``kept``.
 
     Needs ``doc_id, text, lang, source``; more columns are ignored. Null or empty text has no words and fails
-    the base rule; null language or source is a group of its own; rows with the same id are judged one by one;
-    an empty table gives an empty one. The counts are written once to the shared folder, so that texts are
+    the base rule; null language or source is a group of its own, and one in which every document fails has no fences
+    (null); rows with the same id are judged one by one; an empty table gives an empty one. The counts are written once to the shared folder, so that texts are
     read a single time.
     """
     table = shares(written(features(docs), "quality-counts"))
