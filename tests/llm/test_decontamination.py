@@ -2,7 +2,10 @@ import itertools
 import random
 import re
 
-from cortexlake.llm.decontamination import MASKS, PERCENT, RUN, SPAN, contaminated, decontaminate, seed_mask
+from pyspark.sql import functions as F
+
+from cortexlake.llm import decontamination
+from cortexlake.llm.decontamination import MASKS, PERCENT, RUN, SPAN, contaminated, decontaminate, seed_masks
 
 from tests.llm.helpers import DATA, WORD, documents, none_of, odd_documents
 
@@ -19,8 +22,7 @@ def brute(docs, items):
                 equal = [v[k] == w[k + offset] for k in range(lo, hi)]
                 run = min(RUN, len(v))
                 dense = any(sum(equal[k : k + run]) * 100 >= run * PERCENT for k in range(len(equal) - run + 1))
-                seeded = dense and any(all(0 <= k + p - lo < len(equal) and equal[k + p - lo] for p in mask) and lo <= k and k + SPAN <= hi for k in range(lo, hi) for mask in MASKS)
-                if seeded:
+                if dense:
                     out[d, i] = max(out.get((d, i), (0,)), (sum(equal), -max(offset, 0), len(equal)))
     return sorted((d, i, -b, n, e) for (d, i), (e, b, n) in out.items())
 
@@ -57,11 +59,9 @@ def test_odd_rows_and_nothing(spark):
 
 def test_every_accepted_pattern_holds_a_seed():
     for size in range(1, RUN + 1):
-        need = len(MASKS[seed_mask(size)])
-        for spoiled in range(size * (100 - PERCENT) // 100 + 1):
-            for gone in itertools.combinations(range(size), spoiled):
-                edges = [-1, *gone, size]
-                assert max(b - a - 1 for a, b in zip(edges, edges[1:])) >= need
+        seeds = [{k + p for p in MASKS[m]} for m in seed_masks(size) for k in range(size - MASKS[m][-1])]
+        for gone in itertools.combinations(range(size), size * (100 - PERCENT) // 100):
+            assert any(seed.isdisjoint(gone) for seed in seeds)
 
 
 def test_short_items_and_all_their_substitutions(spark):
@@ -85,3 +85,11 @@ def test_rows_with_the_same_id_or_none_are_judged_one_by_one(spark):
     rows = [(None, item), (None, "a clean text"), (1, f"before {item}"), (1, "another clean text"), (None, None)]
     out = decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
     assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
+def test_shuffled_seeds_find_the_same(spark, monkeypatch):
+    docs, items = documents(spark), spark.read.parquet(f"{DATA}/benchmark.parquet")
+    twice = docs.unionByName(docs.limit(20)).unionByName(docs.limit(20).withColumn("doc_id", F.lit(None).cast("long")))
+    want = sorted(map(tuple, contaminated(twice, items).collect()), key=str)
+    monkeypatch.setattr(decontamination, "BROADCAST_WORDS", 0)
+    assert want and sorted(map(tuple, contaminated(twice, items).collect()), key=str) == want
