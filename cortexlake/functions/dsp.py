@@ -15,12 +15,7 @@ def band_pass(x: np.ndarray, fs: float, low: float, high: float, order: int = 3)
     """Zero-phase Butterworth band-pass: the squared magnitude of the bilinear digital filter, as forward and backward passes give."""
     pad = min(len(x) - 1, int(3 * fs / low))
     y = odd_padded(np.asarray(x, float), pad)
-    f = np.fft.rfftfreq(len(y), 1 / fs)
-    warp = np.tan(np.pi * np.minimum(f, fs / 2 * (1 - 1e-9)) / fs)
-    a, b = np.tan(np.pi * low / fs), np.tan(np.pi * high / fs)
-    with np.errstate(divide="ignore"):
-        gain = 1 / (1 + ((warp**2 - a * b) / (warp * (b - a))) ** (2 * order))
-    out = np.fft.irfft(np.fft.rfft(y) * gain, len(y))
+    out = np.fft.irfft(np.fft.rfft(y) * _squared_gain(len(y), fs, low, high, order), len(y))
     return out[pad : pad + len(x)]
 
 
@@ -74,3 +69,62 @@ def psd(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
     power = np.abs(np.fft.rfft((x - x.mean()) * w)) ** 2 / (fs * (w**2).sum())
     power[1 : -1 if len(x) % 2 == 0 else None] *= 2
     return np.fft.rfftfreq(len(x), 1 / fs), power
+
+
+def _squared_gain(n: int, fs: float, low: float, high: float, order: int) -> np.ndarray:
+    f = np.fft.rfftfreq(n, 1 / fs)
+    warp = np.tan(np.pi * np.minimum(f, fs / 2 * (1 - 1e-9)) / fs)
+    a, b = np.tan(np.pi * low / fs), np.tan(np.pi * high / fs)
+    with np.errstate(divide="ignore"):
+        return 1 / (1 + ((warp**2 - a * b) / (warp * (b - a))) ** (2 * order))
+
+
+def band_stop(x: np.ndarray, fs: float, low: float, high: float, order: int = 2) -> np.ndarray:
+    """Zero-phase Butterworth band-stop: what the squared band-pass magnitude of that order leaves over."""
+    pad = min(len(x) - 1, int(3 * fs / low))
+    y = odd_padded(np.asarray(x, float), pad)
+    out = np.fft.irfft(np.fft.rfft(y) * (1 - _squared_gain(len(y), fs, low, high, order)), len(y))
+    return out[pad : pad + len(x)]
+
+
+def fir_band_pass(fs: float, low: float, high: float, order: int) -> np.ndarray:
+    """``order`` + 1 taps: a Hamming-windowed sinc band-pass with gain 1 at the band's centre."""
+    k = np.arange(order + 1) - order / 2
+    ideal = 2 * high / fs * np.sinc(2 * high / fs * k) - 2 * low / fs * np.sinc(2 * low / fs * k)
+    taps = ideal * np.hamming(order + 1)
+    return taps / np.abs(np.sum(taps * np.exp(-2j * np.pi * (low + high) / 2 / fs * k)))
+
+
+def zero_phase_fir(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """The taps forwards and backwards; a signal shorter than three times the taps stays as it is."""
+    pad = 3 * (len(taps) - 1)
+    if len(x) <= pad:
+        return np.asarray(x, float)
+    return np.convolve(odd_padded(np.asarray(x, float), pad), np.convolve(taps, taps[::-1]), "same")[pad : pad + len(x)]
+
+
+def fft_resample(x: np.ndarray, n: int) -> np.ndarray:
+    """``n`` samples over the same span, by cutting or filling up the spectrum."""
+    if not len(x) or not n:
+        return np.zeros(n)
+    spectrum, m = np.fft.rfft(x), min(len(x), n)
+    out = np.zeros(n // 2 + 1, complex)
+    out[: m // 2 + 1] = spectrum[: m // 2 + 1]
+    if m % 2 == 0 and len(x) != n:
+        out[m // 2] *= 2 if n < len(x) else 0.5
+    return np.fft.irfft(out, n) * n / len(x)
+
+
+def instantaneous_frequency(analytic_signal: np.ndarray, fs: float, low: float, high: float) -> np.ndarray:
+    """From the phase's steps, kept within ``low`` and ``high``; the first sample repeats the second's."""
+    if len(analytic_signal) < 2:
+        return np.full(len(analytic_signal), low)
+    f = np.diff(np.unwrap(np.angle(analytic_signal))) * fs / (2 * np.pi)
+    return np.clip(np.concatenate([f[:1], f]), low, high)
+
+
+def morlet(x: np.ndarray, fs: float, hz: float, cycles: float = 6.0) -> np.ndarray:
+    """Magnitude of the analytic Morlet transform at ``hz``: a pure tone of that frequency gives its amplitude."""
+    f = np.fft.fftfreq(len(x), 1 / fs)
+    width = hz / cycles
+    return np.abs(np.fft.ifft(np.fft.fft(x) * np.where(f > 0, 2 * np.exp(-((f - hz) ** 2) / (2 * width**2)), 0)))

@@ -56,3 +56,43 @@ def relative_path(path: Column, root: str) -> Column:
 def parsed_or_kept(text: Column, pattern: str) -> Column:
     """The date in ISO form, or the text as it is where it can't be read."""
     return F.coalesce(F.date_format(F.try_to_timestamp(text, F.lit(pattern)), "yyyy-MM-dd"), text)
+
+
+def coded_name(name: Column) -> dict[str, Column]:
+    """Fields of ``mWsXpYZ_mmddyy``, each by the first place of its letter: mouse, session, phase, its letter, and date.
+
+    A field that can't be read gives 0, and ``x`` for the letter and ``0`` for the date.
+    """
+    part = lambda pattern, default: F.coalesce(_found(name, pattern).try_cast("int"), F.lit(default))
+    return {
+        "mouse": part(r"^[^m]*m(\d+)", 0), "session": part(r"^[^s]*s(\d+)", 0), "phase": part(r"^[^p]*p(\d+)", 0),
+        "letter": F.coalesce(_found(name, r"^[^p]*p\d+([a-z])"), F.lit("x")), "date": F.coalesce(_found(name, r"_(\d{6})$"), F.lit("0")),
+    }
+
+
+def card(text: Column) -> dict[str, Column]:
+    """Fields of a cage card's text: cage, sex, strain, date of birth and notes, null where they are missing."""
+    field = lambda pattern: F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit(""))
+    return {
+        "cage": field(r"(FX\d+-\d+)"), "sex": field(r"(?i)sex:?\s*(male|female|[mf])\b"), "strain": field(r"(?s)Strain:?\s*(.*?)\s*(?=DOB|Notes|\z)"),
+        "dob": field(r"DOB:?\s*(\d{1,2}/\d{1,2}/\d{2,4})"), "notes": field(r"(?s)Notes:?\s*(.*?)\s*(?=Created|\z)"),
+    }
+
+
+def header_value(text: Column, name: str, default: float) -> Column:
+    """A header's number after ``-name``, with or without an exponent; ``default`` where there is none."""
+    return F.coalesce(_found(text, rf"-{name}\s+([-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)").try_cast("double"), F.lit(default))
+
+
+def posix_path(*parts: Column) -> Column:
+    """The parts as one path with forward slashes and none doubled."""
+    return F.regexp_replace(F.replace(F.concat_ws("/", *parts), F.lit("\\"), F.lit("/")), "/+", "/")
+
+
+def is_number(text: Column) -> Column:
+    return F.coalesce(text.try_cast("double").isNotNull(), F.lit(False))
+
+
+def unique_names(name: Column, earlier: Column) -> Column:
+    """``name`` with `` (n)`` before its extension, where ``earlier`` rows already have it; else as it is."""
+    return F.when(earlier == 0, name).otherwise(F.regexp_replace(name, r"^(.*?)(\.[^.]*)?$", F.concat(F.lit("$1 ("), earlier.cast("string"), F.lit(")$2"))))

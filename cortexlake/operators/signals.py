@@ -15,6 +15,29 @@ def event_windows(signal: DataFrame, anchors: DataFrame, half: int) -> DataFrame
     return placed.join(signal, "i", "left").select("ev", "off", "ch", "v")
 
 
+def padded_windows(signal: DataFrame, anchors: DataFrame, before: int, after: int, channels: DataFrame) -> DataFrame:
+    """Samples ``off`` = -before..after - 1 around each anchor for each of ``channels``; places outside the recording are rows with null ``v``.
+
+    ``channels`` (``ch``) are those of the probe, so there are as many rows as windows hold places.
+    """
+    every = channels.agg(F.array_sort(F.collect_set("ch")).alias("chs"))
+    offsets = F.explode(F.sequence(F.lit(-before), F.lit(after - 1))).alias("off")
+    placed = anchors.select("ev", "at", offsets).withColumn("i", F.col("at") + F.col("off")).join(F.broadcast(every)).select("ev", "off", "i", F.explode("chs").alias("ch"))
+    return placed.join(signal, ["ch", "i"], "left").select("ev", "off", "ch", "v")
+
+
+def filled_gaps(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, ch, v, status``: values with status 2 filled along ``ch``, linearly between known ones and with the nearest at the ends; status 1 gives null."""
+    known = F.when(F.col("status") == 0, F.struct("ch", "v"))
+    w = Window.partitionBy(*keys).orderBy("ch")
+    lo, hi = F.last(known, True).over(w), F.last(known, True).over(Window.partitionBy(*keys).orderBy(F.desc("ch")))
+    both = grid.withColumn("lo", lo).withColumn("hi", hi)
+    share = (F.col("ch") - F.col("lo.ch")) / (F.col("hi.ch") - F.col("lo.ch"))
+    between = F.col("lo.v") + (F.col("hi.v") - F.col("lo.v")) * share
+    filled = F.when(F.col("lo").isNull(), F.col("hi.v")).when(F.col("hi").isNull(), F.col("lo.v")).otherwise(between)
+    return both.select(*keys, "ch", F.when(F.col("status") == 0, F.col("v")).when(F.col("status") == 2, filled).alias("v"), "status")
+
+
 def average_windows(windows: DataFrame) -> DataFrame:
     """Mean, population deviation and count over events for each channel and offset."""
     return windows.filter("ch is not null").groupBy("ch", "off").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.count("v").alias("n"))

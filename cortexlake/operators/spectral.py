@@ -46,6 +46,103 @@ def band_passed(signal: DataFrame, fs: float, low: float, high: float, block: in
     return _each_block(signal, kernel, "ch int, i long, v double, envelope double", block, overlap)
 
 
+def _filtered(signal: DataFrame, kernel, block: int, overlap: int) -> DataFrame:
+    """``ch, i, v`` by a kernel that maps a block's samples to as many."""
+
+    def run(ch, i, v, own):
+        return pd.DataFrame({"ch": ch, "i": i[own], "v": (kernel(v) if len(v) > 3 else v)[own]})
+
+    return _each_block(signal, run, "ch int, i long, v double", block, overlap)
+
+
+def band_stopped(signal: DataFrame, fs: float, low: float, high: float, block: int = BLOCK, overlap: int = OVERLAP) -> DataFrame:
+    """``ch, i, v`` without what lies between ``low`` and ``high``."""
+    return _filtered(signal, lambda v: dsp.band_stop(v, fs, low, high), block, overlap)
+
+
+def fir_band_passed(signal: DataFrame, fs: float, low: float, high: float, order: int, block: int = BLOCK, overlap: int = OVERLAP) -> DataFrame:
+    """``ch, i, v`` by a windowed-sinc band-pass, forwards and backwards. Its reach, the order, has to lie within the overlap."""
+    if overlap < 2 * order:
+        raise ValueError("the filter reaches further than the overlap")
+    taps = dsp.fir_band_pass(fs, low, high, order)
+    return _filtered(signal, lambda v: dsp.zero_phase_fir(v, taps), block, overlap)
+
+
+def analytic_parts(signal: DataFrame, fs: float, low: float, high: float, block: int = BLOCK, overlap: int = OVERLAP) -> DataFrame:
+    """``ch, i, envelope, phase`` of the band-passed signal; the phase in radians."""
+
+    def kernel(ch, i, v, own):
+        z = dsp.analytic(dsp.band_pass(v, fs, low, high)) if len(v) > 3 else v.astype(complex)
+        return pd.DataFrame({"ch": ch, "i": i[own], "envelope": np.abs(z)[own], "phase": np.angle(z)[own]})
+
+    return _each_block(signal, kernel, "ch int, i long, envelope double, phase double", block, overlap)
+
+
+def instantaneous_frequency(signal: DataFrame, fs: float, low: float, high: float, block: int = BLOCK, overlap: int = OVERLAP) -> DataFrame:
+    """``ch, i, hz``: frequency of the band-passed signal from its phase, kept within the band."""
+
+    def kernel(ch, i, v, own):
+        z = dsp.analytic(dsp.band_pass(v, fs, low, high)) if len(v) > 3 else v.astype(complex)
+        return pd.DataFrame({"ch": ch, "i": i[own], "hz": dsp.instantaneous_frequency(z, fs, low, high)[own]})
+
+    return _each_block(signal, kernel, "ch int, i long, hz double", block, overlap)
+
+
+def fft_resampled(signal: DataFrame, fs: int, to: int, block: int = BLOCK) -> DataFrame:
+    """``ch, i, v``: each block resampled on its own by its spectrum; a block has a whole number of seconds' worth of samples."""
+    block = max(block // fs, 1) * fs
+    size = block * to // fs
+
+    def kernel(ch, i, v, own):
+        n = round(len(v) * to / fs)
+        first = int(i[0]) // block * size if len(i) else 0
+        return pd.DataFrame({"ch": ch, "i": first + np.arange(n), "v": dsp.fft_resample(v, n)})
+
+    return _each_block(signal, kernel, "ch int, i long, v double", block, 0)
+
+
+def spectrogram(signal: DataFrame, fs: float, size: int, hop: int, block: int = BLOCK) -> DataFrame:
+    """``ch, start, hz, power``: density of every window of ``size`` samples that begins at a multiple of ``hop``; windows past the end go."""
+
+    def kernel(ch, i, v, own):
+        starts = np.flatnonzero(own & (i % hop == 0))
+        starts = starts[starts + size <= len(v)]
+        if not len(starts):
+            return pd.DataFrame({"ch": [], "start": [], "hz": [], "power": []})
+        hz = np.fft.rfftfreq(size, 1 / fs)
+        each = np.stack([dsp.psd(v[s : s + size], fs)[1] for s in starts])
+        return pd.DataFrame({"ch": ch, "start": np.repeat(i[starts], len(hz)), "hz": np.tile(hz, len(starts)), "power": each.ravel()})
+
+    return _each_block(signal, kernel, "ch int, start long, hz double, power double", block, size)
+
+
+def scalogram(signal: DataFrame, fs: float, frequencies: tuple[float, ...], block: int = BLOCK, overlap: int = OVERLAP) -> DataFrame:
+    """``ch, i, hz, log_power``: log10 magnitude of the Morlet transform at each frequency."""
+
+    def kernel(ch, i, v, own):
+        parts = [pd.DataFrame({"ch": ch, "i": i[own], "hz": f, "log_power": np.log10(np.maximum(dsp.morlet(v, fs, f)[own], 1e-300))}) for f in frequencies if len(v)]
+        return pd.concat(parts) if parts else pd.DataFrame({"ch": [], "i": [], "hz": [], "log_power": []})
+
+    return _each_block(signal, kernel, "ch int, i long, hz double, log_power double", block, overlap)
+
+
+def band_properties(psd: DataFrame, bands: dict[str, tuple[float, float]]) -> DataFrame:
+    """Per channel of ``ch, hz, power``: each band's share of the power, its strongest frequency and that one's power, and theta over slow gamma."""
+    inside = lambda lo, hi, x: F.when(F.col("hz").between(lo, hi), x)
+    cols = []
+    for name, (lo, hi) in bands.items():
+        cols += [(F.sum(inside(lo, hi, F.col("power"))) / F.sum("power")).alias(f"{name}_share"), F.max_by("hz", inside(lo, hi, F.col("power"))).alias(f"{name}_hz"), F.max(inside(lo, hi, F.col("power"))).alias(f"{name}_peak")]
+    out = psd.groupBy("ch").agg(*cols)
+    return out.withColumn("theta_ratio", F.try_divide("theta_share", "slow_gamma_share")) if {"theta", "slow_gamma"} <= set(bands) else out
+
+
+def amplitude_correlation(signal: DataFrame, a: int, b: int, fs: float, low: float, high: float, lag: int) -> DataFrame:
+    """Cross-correlation of two channels' envelopes in a band, less their means: ``lag, r``."""
+    found = band_passed(signal.filter(F.col("ch").isin(a, b)), fs, low, high)
+    means = found.groupBy("ch").agg(F.avg("envelope").alias("mean"))
+    return cross_correlation(found.join(means, "ch").select("ch", "i", (F.col("envelope") - F.col("mean")).alias("v")), a, b, lag)
+
+
 def detected_peaks(signal: DataFrame, value: str, times_sd: float, distance: int, block: int = BLOCK, overlap: int = OVERLAP) -> DataFrame:
     """Peaks of at least ``times_sd`` population deviations of the channel: ``ch, i, height, prominence, half_width, asymmetry``.
 

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges that a group's values are cut into when they are ranked.
+RANGES = 64
+
 
 def missing(x: Column) -> Column:
     """NaN as null."""
@@ -24,33 +27,38 @@ def mean_sem(df: DataFrame, keys: Sequence[str], measure: str) -> DataFrame:
     return df.na.drop(subset=list(keys)).groupBy(*keys).agg(F.avg(x).alias("mean"), (F.stddev_samp(x) / F.sqrt(F.count(x))).alias("sem"), F.count(x).alias("n"))
 
 
-def prctile(df: DataFrame, keys: Sequence[str], value: str, percent: float, name: str = "p") -> DataFrame:
-    """Percentile with midpoint ranks: the k-th of n values is the 100 * (k - 0.5) / n percentile, linear between, flat outside.
+def _at_rank(df: DataFrame, keys: Sequence[str], value: str, place, name: str) -> DataFrame:
+    """The value at the real-valued rank ``place(n)`` (from 1) of each group's n values, linear between whole ranks.
 
-    Exact and without gathering a group: values are counted, ranked by running sums per value, and only the two
-    neighbouring ranks are kept.
+    Exact and without gathering a group: values are counted and cut into RANGES ranges per group by approximate quantiles; ranks are
+    running sums inside a range, and only the ranges' sizes are summed over a group. Just the two neighbouring ranks are kept.
     """
     counts = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    if keys:
-        w = Window.partitionBy(*keys)
-        ranked = counts.withColumn("_hi", F.sum("_n").over(w.orderBy("_v"))).withColumn("_all", F.sum("_n").over(w))
-    else:
-        ranked = _global_ranks(counts)
-    at = F.least(F.greatest(F.col("_all") * F.lit(percent / 100) + 0.5, F.lit(1.0)), F.col("_all").cast("double"))
+    keyed = counts.withColumn("_one", F.lit(1))
+    by = [*keys, "_one"]
+    cuts = keyed.groupBy(*by).agg(F.percentile_approx("_v", [k / RANGES for k in range(1, RANGES)], 4 * RANGES).alias("_cuts"))
+    ranged = keyed.join(cuts, by) if keys else keyed.join(F.broadcast(cuts), "_one").select(*keyed.columns, "_cuts")
+    ranged = ranged.withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))).drop("_cuts")
+    inside = ranged.withColumn("_in", F.sum("_n").over(Window.partitionBy(*by, "_range").orderBy("_v")))
+    sizes = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_size"))
+    w = Window.partitionBy(*by)
+    before = sizes.withColumn("_before", F.sum("_size").over(w.orderBy("_range")) - F.col("_size")).withColumn("_all", F.sum("_size").over(w)).drop("_size")
+    ranked = inside.join(before, [*by, "_range"]).withColumn("_hi", F.col("_in") + F.col("_before"))
+    at = place(F.col("_all"))
     low, high = F.floor(at), F.ceil(at)
     holds = lambda r: (F.col("_hi") >= r) & (F.col("_hi") - F.col("_n") < r)
-    ends = ranked.filter(holds(low) | holds(high)).groupBy(*keys).agg(F.max(F.when(holds(low), F.col("_v"))).alias("_a"), F.max(F.when(holds(high), F.col("_v"))).alias("_b"), F.max(at - low).alias("_f"))
+    ends = ranked.filter(holds(low) | holds(high)).groupBy(*by).agg(F.max(F.when(holds(low), F.col("_v"))).alias("_a"), F.max(F.when(holds(high), F.col("_v"))).alias("_b"), F.max(at - low).alias("_f"))
     return ends.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias(name))
 
 
-def _global_ranks(counts: DataFrame) -> DataFrame:
-    """Running counts over all values without one task for all: values are ranked within ranges of a coarse key, then offset."""
-    coarse = counts.withColumn("_range", F.floor(F.asinh("_v") * 16))
-    inside = coarse.withColumn("_in", F.sum("_n").over(Window.partitionBy("_range").orderBy("_v")))
-    sizes = coarse.groupBy("_range").agg(F.sum("_n").alias("_size"))
-    # Ranges are at most a few thousand: doubles span less than 1500 in asinh.
-    before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).withColumn("_all", F.sum("_size").over(Window.partitionBy()))
-    return inside.join(F.broadcast(before.select("_range", "_before", "_all")), "_range").withColumn("_hi", F.col("_in") + F.col("_before"))
+def prctile(df: DataFrame, keys: Sequence[str], value: str, percent: float, name: str = "p") -> DataFrame:
+    """Percentile with midpoint ranks: the k-th of n values is the 100 * (k - 0.5) / n percentile, linear between, flat outside."""
+    return _at_rank(df, keys, value, lambda n: F.least(F.greatest(n * F.lit(percent / 100) + 0.5, F.lit(1.0)), n.cast("double")), name)
+
+
+def quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str = "p") -> DataFrame:
+    """Quantile with the first value at 0 and the last at 1, linear between."""
+    return _at_rank(df, keys, value, lambda n: (n - 1) * F.lit(q) + 1.0, name)
 
 
 def circular_mean(df: DataFrame, keys: Sequence[str], degrees: str, weight: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,9 +11,9 @@ from cortexlake.operators import signals as sg
 from cortexlake.operators import spectral as sp
 from cortexlake.operators import stats as st
 from cortexlake.operators.clusters import pca_clusters
-from cortexlake.operators.sources_density import inverse_source_density
+from cortexlake.operators.sources_density import forward_matrix, inverse_source_density
+from cortexlake.operators.templates import ABOVE, BELOW, golden_template
 from cortexlake.operators.templates import REGIONS as REGION_ORDER
-from cortexlake.operators.templates import golden_template
 from cortexlake.plans.registry import S, query
 
 # Regions of a 32-channel probe.
@@ -52,9 +53,9 @@ def _(t):
     return sg.source_density(t.signal, ["i"]).select("i", "ch", F.round("csd", 6).alias("csd"))
 
 
-@query("D30_source_density_replicated", f"SELECT ch, round(avg(csd), 5) AS mean FROM (SELECT ch, label, -(coalesce(lag(v) OVER w, v) - 2 * v + coalesce(lead(v) OVER w, v)) AS csd FROM {S} WINDOW w AS (PARTITION BY i ORDER BY ch)) WHERE label = 3 GROUP BY ch")
+@query("D30_source_density_replicated", f"SELECT label, ch, round(avg(csd), 5) AS mean FROM (SELECT ch, label, -(coalesce(lag(v) OVER w, v) - 2 * v + coalesce(lead(v) OVER w, v)) AS csd FROM {S} WINDOW w AS (PARTITION BY i ORDER BY ch)) GROUP BY label, ch")
 def _(t):
-    return sg.source_density(t.signal.filter("label = 3"), ["i"], "replicate").groupBy("ch").agg(F.round(F.avg("csd"), 5).alias("mean"))
+    return sg.source_density(t.signal, ["i"], "replicate").groupBy("label", "ch").agg(F.round(F.avg("csd"), 5).alias("mean"))
 
 
 @query("W11_line_length", f"""SELECT ch, i, CASE WHEN count(*) OVER (PARTITION BY ch ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) >= 5 THEN round(sum(d) OVER (PARTITION BY ch ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING), 5) END AS ll
@@ -75,18 +76,18 @@ def _(t):
     return sg.bin_means(t.signal, 16).select("ch", "bin", F.round("mean", 6).alias("mean"))
 
 
-WINDOWS = f"(SELECT a.vec_id AS ev, o.off, s.ch, s.v FROM embeddings a CROSS JOIN (SELECT unnest(generate_series(-5, 5)) AS off) o JOIN {S} s ON s.i = a.vec_id + o.off WHERE a.vec_id % 40 = 7)"
+WINDOWS = f"(SELECT a.vec_id AS ev, o.off, s.ch, s.v FROM embeddings a CROSS JOIN (SELECT unnest(generate_series(-5, 5)) AS off) o JOIN {S} s ON s.i = a.vec_id + o.off)"
 
 
 @query("J12_event_windows", f"SELECT ev, off, ch, v FROM {WINDOWS}")
 def _(t):
-    anchors = t.embeddings.filter("vec_id % 40 = 7").select(F.col("vec_id").alias("ev"), F.col("vec_id").alias("at"))
+    anchors = t.embeddings.select(F.col("vec_id").alias("ev"), F.col("vec_id").alias("at"))
     return sg.event_windows(t.signal, anchors, 5).filter("ch is not null")
 
 
 @query("A10_window_averages", f"SELECT ch, off, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, count(v) AS n FROM {WINDOWS} GROUP BY ch, off")
 def _(t):
-    anchors = t.embeddings.filter("vec_id % 40 = 7").select(F.col("vec_id").alias("ev"), F.col("vec_id").alias("at"))
+    anchors = t.embeddings.select(F.col("vec_id").alias("ev"), F.col("vec_id").alias("at"))
     out = sg.average_windows(sg.event_windows(t.signal, anchors, 5))
     return out.select("ch", "off", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "n")
 
@@ -98,7 +99,7 @@ def _(t):
 
 @query("A03_extents", f"SELECT label, count(DISTINCT i) AS n, min(i) AS first_i, max(i) AS last_i FROM {S} GROUP BY label")
 def _(t):
-    return t.embeddings.groupBy("label").agg(F.countDistinct("vec_id").alias("n"), F.min("vec_id").alias("first_i"), F.max("vec_id").alias("last_i"))
+    return t.signal.groupBy("label").agg(F.countDistinct("i").alias("n"), F.min("i").alias("first_i"), F.max("i").alias("last_i"))
 
 
 @query("A07_group_sum_on_rows", "SELECT vec_id, label, sum(CAST(vec_id % 3 > 0 AS BIGINT)) OVER (PARTITION BY label) AS n_valid FROM embeddings")
@@ -140,7 +141,7 @@ def _(t):
 
 @query("A19_linear_percentile", f"SELECT ch, round(quantile_cont(v, 0.6), 6) AS p FROM {S} GROUP BY ch")
 def _(t):
-    return t.signal.groupBy("ch").agg(F.round(F.percentile("v", 0.6), 6).alias("p"))
+    return st.quantile(t.signal, ["ch"], "v", 0.6).select("ch", F.round("p", 6).alias("p"))
 
 
 @query("A20_population_sd", f"SELECT ch, round(stddev_pop(v), 6) AS sd FROM {S} GROUP BY ch")
@@ -162,7 +163,7 @@ def _(t):
 @query("A23_median_peak", f"SELECT label, round(median(peak)) AS anchor FROM (SELECT label, ch, arg_max(i, (v, -i)) AS peak FROM {S} GROUP BY label, ch) GROUP BY label")
 def _(t):
     peaks = t.signal.groupBy("label", "ch").agg(F.max_by("i", F.struct("v", -F.col("i"))).alias("peak"))
-    return peaks.groupBy("label").agg(F.round(F.median("peak")).alias("anchor"))
+    return st.quantile(peaks, ["label"], "peak", 0.5).select("label", F.round("p").alias("anchor"))
 
 
 @query("A24_argmax", f"SELECT i, arg_max(ch, (v, -ch)) AS top, arg_min(ch, (v, ch)) AS low FROM {S} GROUP BY i")
@@ -182,9 +183,9 @@ def _(t):
     return out.select("label", F.round("mean_deg", 4).alias("mean_deg"), F.round("r", 6).alias("r"), "n")
 
 
-@query("A28_rayleigh", f"""SELECT ch, round(least(greatest(exp(-z) * (1 + (2 * z - z * z) / (4 * n) - (24 * z - 132 * z * z + 76 * z ** 3 - 9 * z ** 4) / (288 * n * n)), 0), 1), 6) AS p FROM (SELECT ch, n, n * r2 AS z FROM (SELECT ch, count(v) AS n, avg(cos(radians(v * 40))) ** 2 + avg(sin(radians(v * 40))) ** 2 AS r2 FROM {S} WHERE i < 40 GROUP BY ch))""")
+@query("A28_rayleigh", f"""SELECT ch, round(least(greatest(exp(-z) * (1 + (2 * z - z * z) / (4 * n) - (24 * z - 132 * z * z + 76 * z ** 3 - 9 * z ** 4) / (288 * n * n)), 0), 1), 6) AS p FROM (SELECT ch, n, n * r2 AS z FROM (SELECT ch, count(v) AS n, avg(cos(radians(v * 40))) ** 2 + avg(sin(radians(v * 40))) ** 2 AS r2 FROM {S} GROUP BY ch))""")
 def _(t):
-    out = st.circular_mean(t.signal.filter("i < 40").withColumn("deg", F.col("v") * 40), ["ch"], "deg")
+    out = st.circular_mean(t.signal.withColumn("deg", F.col("v") * 40), ["ch"], "deg")
     return out.select("ch", F.round(st.rayleigh_p(F.col("r"), F.col("n")), 6).alias("p"))
 
 
@@ -226,7 +227,7 @@ def _(t):
 
 @query("R08_event_limits", f"SELECT ev, round(p, 6) AS p FROM ({prctile_sql(f'(SELECT ev, abs(v) AS v FROM {WINDOWS})', 0.99, 'p', 'ev')})")
 def _(t):
-    anchors = t.embeddings.filter("vec_id % 40 = 7").select(F.col("vec_id").alias("ev"), F.col("vec_id").alias("at"))
+    anchors = t.embeddings.select(F.col("vec_id").alias("ev"), F.col("vec_id").alias("at"))
     w = sg.event_windows(t.signal, anchors, 5).withColumn("v", F.abs("v"))
     return st.prctile(w, ["ev"], "v", 99.0).select("ev", F.round("p", 6).alias("p"))
 
@@ -243,7 +244,7 @@ def _(t):
 
 @query("R31_strict_windows", f"SELECT ev, ch FROM {WINDOWS} GROUP BY ev, ch HAVING bool_and(v < 3)")
 def _(t):
-    anchors = t.embeddings.filter("vec_id % 40 = 7").select(F.col("vec_id").alias("ev"), F.col("vec_id").alias("at"))
+    anchors = t.embeddings.select(F.col("vec_id").alias("ev"), F.col("vec_id").alias("at"))
     w = sg.event_windows(t.signal, anchors, 5).filter("ch is not null")
     return w.groupBy("ev", "ch").agg(F.bool_and(F.col("v") < 3).alias("ok")).filter("ok").select("ev", "ch")
 
@@ -273,14 +274,21 @@ def _(t):
     return inverse_source_density(t.signal, ["i"], 64, "standard").select("i", "ch", F.round("csd", 2).alias("csd"))
 
 
-@query("D32_delta_source_density")
+def inverse_sql(method: str) -> str:
+    """The inverse matrix's entries as a table, joined and summed."""
+    m = np.linalg.inv(forward_matrix(64, method))
+    entries = ", ".join(f"({a + 1}, {b + 1}, {float(m[a, b])!r}::DOUBLE)" for a in range(64) for b in range(64))
+    return f"SELECT s.i, CAST(m.o AS INT) AS ch, round(sum(m.f * s.v) / 1e6, 6) AS csd FROM {S} s JOIN (VALUES {entries}) m(o, ch, f) ON m.ch = s.ch GROUP BY s.i, m.o"
+
+
+@query("D32_delta_source_density", inverse_sql("delta"))
 def _(t):
-    return inverse_source_density(t.signal, ["i"], 64, "delta")
+    return inverse_source_density(t.signal, ["i"], 64, "delta").select("i", "ch", F.round(F.col("csd") / 1e6, 6).alias("csd"))
 
 
-@query("D32_step_source_density")
+@query("D32_step_source_density", inverse_sql("step"))
 def _(t):
-    return inverse_source_density(t.signal, ["i"], 64, "step")
+    return inverse_source_density(t.signal, ["i"], 64, "step").select("i", "ch", F.round(F.col("csd") / 1e6, 6).alias("csd"))
 
 
 @query("D09_band_pass")
@@ -298,22 +306,34 @@ def _(t):
     return sp.detected_peaks(sp.band_passed(t.signal, 1000, 120, 180), "envelope", 2.0, 100)
 
 
-@query("D37_mean_psd")
+#: The one-sided density of windows of 128 samples at 1 kHz, by a sum over a table of cosines and sines.
+PSD = f"""(WITH x AS (SELECT ch, i // 128 AS w, i % 128 AS k, v FROM {S}), m AS (SELECT ch, w, avg(v) AS mean FROM x GROUP BY ch, w HAVING count(*) = 128),
+    y AS (SELECT x.ch, x.w, x.k, (x.v - m.mean) * (0.5 - 0.5 * cos(2 * pi() * x.k / 128)) AS v FROM x JOIN m USING (ch, w)),
+    f AS (SELECT y.ch, y.w, f.f, sum(y.v * cos(2 * pi() * f.f * y.k / 128)) AS re, sum(y.v * sin(2 * pi() * f.f * y.k / 128)) AS im FROM y CROSS JOIN (SELECT unnest(generate_series(0, 64)) AS f) f GROUP BY y.ch, y.w, f.f)
+    SELECT ch, f * 1000 / 128.0 AS hz, avg((re * re + im * im) * CASE WHEN f IN (0, 64) THEN 1 ELSE 2 END / (1000 * 48.0)) AS power FROM f GROUP BY ch, f)"""
+
+
+@query("D37_mean_psd", f"SELECT ch, hz, round(power, 9) AS power FROM {PSD}")
 def _(t):
-    return sp.mean_psd(t.signal, 1000, 128)
+    return sp.mean_psd(t.signal, 1000, 128).select("ch", "hz", F.round("power", 9).alias("power"))
 
 
-@query("A33_band_power")
+@query("A33_band_power", f"""SELECT ch, round(sum(power) FILTER (hz BETWEEN 4 AND 12) / sum(power), 6) AS theta, round(sum(power) FILTER (hz BETWEEN 30 AND 50) / sum(power), 6) AS low_gamma,
+    round(sum(power) FILTER (hz BETWEEN 70 AND 90) / sum(power), 6) AS high_gamma, arg_max(hz, power) AS peak_hz FROM {PSD} GROUP BY ch""")
 def _(t):
     """Share of power in three bands and the strongest frequency of each channel."""
     p = sp.mean_psd(t.signal, 1000, 128)
-    band = lambda lo, hi: (F.sum(F.when(F.col("hz").between(lo, hi), F.col("power"))) / F.sum("power"))
+    band = lambda lo, hi: F.round(F.sum(F.when(F.col("hz").between(lo, hi), F.col("power"))) / F.sum("power"), 6)
     return p.groupBy("ch").agg(band(4, 12).alias("theta"), band(30, 50).alias("low_gamma"), band(70, 90).alias("high_gamma"), F.max_by("hz", "power").alias("peak_hz"))
 
 
-@query("D41_coherence")
+@query("D41_coherence", f"""WITH x AS (SELECT ch, w, i - w * 32 AS k, v FROM (SELECT ch, i, v, unnest([i // 32, i // 32 - 1]) AS w FROM {S} WHERE ch IN (1, 2)) WHERE w >= 0), m AS (SELECT ch, w, avg(v) AS mean FROM x GROUP BY ch, w HAVING count(*) = 64),
+    y AS (SELECT x.ch, x.w, x.k, (x.v - m.mean) * (0.5 - 0.5 * cos(2 * pi() * x.k / 64)) AS v FROM x JOIN m USING (ch, w)),
+    f AS (SELECT y.ch, y.w, f.f, sum(y.v * cos(2 * pi() * f.f * y.k / 64)) AS re, sum(y.v * sin(2 * pi() * f.f * y.k / 64)) AS im FROM y CROSS JOIN (SELECT unnest(generate_series(0, 32)) AS f) f GROUP BY y.ch, y.w, f.f),
+    s AS (SELECT a.f, sum(a.re * b.re + a.im * b.im) AS re, sum(a.re * b.im - a.im * b.re) AS im, sum(a.re * a.re + a.im * a.im) AS xx, sum(b.re * b.re + b.im * b.im) AS yy FROM f a JOIN f b ON b.w = a.w AND b.f = a.f AND a.ch = 1 AND b.ch = 2 GROUP BY a.f)
+    SELECT f * 1000 / 64.0 AS hz, round((re * re + im * im) / (xx * yy), 6) AS coherence FROM s""")
 def _(t):
-    return sp.coherence(t.signal, 1, 2, 1000, 64)
+    return sp.coherence(t.signal, 1, 2, 1000, 64).select("hz", F.round("coherence", 6).alias("coherence"))
 
 
 @query("D49_pca_clusters")
@@ -321,10 +341,20 @@ def _(t):
     return pca_clusters(t.embeddings, "vec_id", "embedding")
 
 
-@query("D36_golden_template")
+_ROWS = f"(SELECT DISTINCT label AS session, ch AS row, list_extract([{', '.join(repr(r) for r in REGION_ORDER)}], CAST(floor((ch + label % 5 - 4) / 7.0) AS INT) + 1) AS region FROM {S} WHERE ch BETWEEN 1 + label % 3 AND 64)"
+_NAMES = ", ".join(f"({k}, '{r}')" for k, r in enumerate((ABOVE, *REGION_ORDER, BELOW)))
+
+
+@query("D36_golden_template", f"""WITH l AS (SELECT session, row, CASE WHEN row + session % 5 >= 4 THEN region END AS region FROM {_ROWS}), b AS (SELECT session, min(row) AS lo, max(row) AS hi FROM l GROUP BY session),
+    x AS (SELECT l.session, l.region, count(*) AS n, min(l.row) AS top, max(l.row) AS bottom, any_value(b.lo) AS lo, any_value(b.hi) AS hi FROM l JOIN b USING (session) WHERE l.region IS NOT NULL GROUP BY l.session, l.region),
+    k AS (SELECT region, n FROM x WHERE NOT (region = '{REGION_ORDER[0]}' AND top = lo) AND NOT (region = '{REGION_ORDER[-1]}' AND bottom = hi)
+        UNION ALL SELECT '{ABOVE}', greatest(top - 1, 0) FROM x WHERE region = '{REGION_ORDER[0]}' AND top > 1 UNION ALL SELECT '{BELOW}', greatest(64 - bottom, 0) FROM x WHERE region = '{REGION_ORDER[-1]}' AND bottom < 64),
+    m AS (SELECT region, avg(n) AS mean_thickness, CAST(round_even(avg(n), 0) AS INT) AS target FROM k GROUP BY region),
+    s AS (SELECT 64 - sum(target) AS lack, max(target) FILTER (region = '{ABOVE}') AS above, max(target) FILTER (region = '{BELOW}') AS below FROM m)
+    SELECT o.place, m.region, m.mean_thickness, CAST(m.target + CASE WHEN m.region = CASE WHEN above >= below THEN '{ABOVE}' WHEN above < below THEN '{BELOW}' END THEN lack ELSE 0 END AS INT) AS target FROM m JOIN (VALUES {_NAMES}) o(place, region) USING (region) CROSS JOIN s""")
 def _(t):
-    """Each label is a session whose regions are cut out of the channels by its number."""
+    """Each label is a session whose regions are cut out of the channels by its number; some sessions begin below the first channel."""
     cut = F.floor((F.col("ch") + F.col("label") % 5 - 4) / 7)
     names = F.array(*map(F.lit, REGION_ORDER))
-    rows = t.signal.select(F.col("label").alias("session"), F.col("ch").alias("row"), F.when(cut.between(0, 7), F.get(names, cut.cast("int"))).alias("region")).distinct()
-    return golden_template(rows)
+    region = F.when(cut.between(0, 7), F.get(names, cut.cast("int")))
+    return golden_template(t.signal.filter(F.col("ch") > F.col("label") % 3).select(F.col("label").alias("session"), F.col("ch").alias("row"), region.alias("region")).distinct())

@@ -30,9 +30,9 @@ def _(t):
     return good.groupBy("ch").agg(F.sum("v").alias("s")).crossJoin(F.broadcast(used)).select("ch", (F.col("s") / F.col("used")).alias("mean"))
 
 
-@query("A32_channels_per_event", f"SELECT i, count(*) AS n FROM {S} WHERE v > 0.25 AND ch BETWEEN 1 AND 32 GROUP BY 1")
+@query("A32_channels_per_event", f"SELECT i, count(*) AS n FROM {S} WHERE v > 0.25 GROUP BY 1")
 def _(t):
-    return t.signal.filter("v > 0.25D and ch between 1 and 32").groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    return t.signal.filter("v > 0.25D").groupBy("i").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _islands(source: str, keys: str, at: str, gap: int, tie: str) -> str:

@@ -87,9 +87,9 @@ def _(t):
 @query("J11_nearest_value", f"""SELECT p.session, p.event_id, arg_min(q.event_id, (abs(q.t - p.t), q.t, q.event_id)) AS nearest_id FROM {E} p JOIN {E} q ON q.session = p.session AND q.code = 'purchase' AND p.code = 'click' GROUP BY ALL""")
 def _(t):
     e = t.timeline
-    w = Window.partitionBy("session").orderBy("t", "event_id")
+    w, down = Window.partitionBy("session").orderBy("t", "event_id"), Window.partitionBy("session").orderBy(F.desc("t"), F.desc("event_id"))
     hit = F.when(F.col("code") == "purchase", F.struct("t", "event_id"))
-    both = e.filter("code in ('click', 'purchase')").withColumn("before", F.last(hit, True).over(w)).withColumn("after", F.first(hit, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    both = e.filter("code in ('click', 'purchase')").withColumn("before", F.last(hit, True).over(w)).withColumn("after", F.last(hit, True).over(down))
     near = F.when(F.col("after").isNull() | ((F.col("t") - F.col("before.t")) <= (F.col("after.t") - F.col("t"))), F.col("before.event_id")).otherwise(F.col("after.event_id"))
     return both.filter("code = 'click' AND (before IS NOT NULL OR after IS NOT NULL)").select("session", "event_id", F.coalesce(near, "after.event_id").alias("nearest_id"))
 
@@ -199,19 +199,19 @@ def _(t):
     return each.groupBy("code", (F.col("k") * 6 * HOUR).alias("from_us")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query("R01_edit_status", f"SELECT event_id, status, CAST(status > 0 AS INT) AS is_valid, sum(CAST(status > 0 AS BIGINT)) OVER (PARTITION BY session) AS n_valid FROM (SELECT *, CASE WHEN event_id BETWEEN 100 AND 300 THEN -1 ELSE 1 END AS status FROM {E} WHERE event_id % 50 <> 0)")
+@query("R01_edit_status", f"SELECT event_id, status, CAST(status > 0 AS INT) AS is_valid, sum(CAST(status > 0 AS BIGINT)) OVER (PARTITION BY session) AS n_valid FROM (SELECT *, CASE WHEN event_id BETWEEN 100 AND 300 THEN -1 ELSE 1 END AS status FROM {E} WHERE code <> 'error')")
 def _(t):
-    edited = t.timeline.filter("event_id % 50 != 0").withColumn("status", F.when(F.col("event_id").between(100, 300), -1).otherwise(1))
+    edited = t.timeline.filter("code != 'error'").withColumn("status", F.when(F.col("event_id").between(100, 300), -1).otherwise(1))
     valid = (F.col("status") > 0).cast("int")
     return edited.select("event_id", "status", valid.alias("is_valid"), F.sum(valid).over(Window.partitionBy("session")).cast("decimal(38,0)").alias("n_valid"))
 
 
-@query("J19_control_times", None)
+@query("J19_control_times", f"SELECT event_id, t, t + CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END * ({5 * HOUR} + CAST(floor(h * {5 * HOUR >> 10} / 4194304.0) AS BIGINT)) AS control_us FROM (SELECT event_id, t, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM {E} WHERE code = 'click')")
 def _(t):
     """A control time 5 to 10 h away on either side of each click, the same for the same event each time."""
-    h = F.pmod(F.xxhash64("event_id"), F.lit(10 * HOUR))
-    side = F.when(F.pmod(F.xxhash64("event_id", F.lit(1)), F.lit(2)) == 0, 1).otherwise(-1)
-    return t.timeline.filter("code = 'click'").select("event_id", "t", (F.col("t") + side * (5 * HOUR + h / 2).cast("bigint")).alias("control_us"))
+    h = F.conv(F.substring(F.md5(F.col("event_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    away = F.lit(5 * HOUR) + F.floor(h * (5 * HOUR >> 10) / (1 << 22)).cast("long")
+    return t.timeline.filter("code = 'click'").select("event_id", "t", (F.col("t") + F.when(h % 2 == 0, 1).otherwise(-1) * away).alias("control_us"))
 
 
 @query("A05_joined_text", f"SELECT session, string_agg(code, ' | ' ORDER BY t, event_id) AS codes FROM {E} GROUP BY session")
