@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 
+from cortexlake.llm import language_model
 from cortexlake.llm.bytetext import chunks
 from cortexlake.llm.language_model import _seat, score_texts
 from cortexlake.llm.spelling import END, SPACE, spell
@@ -29,21 +30,40 @@ def test_spelling_round_trip():
     assert s.scored().sum() == len(s.symbols) - 15
 
 
-def test_seating_follows_the_restaurant():
+def seatings(customers):
+    """Every way to seat so many customers, as the tables' sizes."""
+    if not customers:
+        yield []
+        return
+    for sizes in seatings(customers - 1):
+        yield [*sizes, 1]
+        for k in range(len(sizes)):
+            yield [*sizes[:k], sizes[k] + 1, *sizes[k + 1 :]]
+
+
+def test_table_counts_follow_their_conditional():
     r = np.random.default_rng(1)
     customers, new, d = 6, 0.7, 0.4
     got = _seat(np.full(40000, customers), np.full(40000, new), d, r)
-    tables = {1: 1.0}
-    for n in range(1, customers):
-        step = Counter()
-        for t, p in tables.items():
-            q = new / (new + n - d * t)
-            step[t + 1] += p * q
-            step[t] += p * (1 - q)
-        tables = step
-    assert all(abs((got == t).mean() - p) < 0.02 for t, p in tables.items())
-    big = _seat(np.array([0, 1, 10**9]), np.full(3, 50.0), d, r)
-    assert big[0] == 0 and big[1] == 1 and 1 < big[2] < 10**9
+    odds = Counter()
+    for sizes in seatings(customers):
+        odds[len(sizes)] += new ** len(sizes) * math.prod(k - d for n in sizes for k in range(1, n))
+    assert all(abs((got == t).mean() - p / sum(odds.values())) < 0.02 for t, p in odds.items())
+    big = _seat(np.array([0, 1, 2, 10**9]), np.full(4, 50.0), d, r)
+    assert big[0] == 0 and big[1] == 1 and 1 <= big[2] <= 2 and 1 < big[3] < 10**9
+
+
+def test_probabilities_sum_to_one_in_each_context(spark, monkeypatch):
+    for name, size in (("FREQUENT", 60), ("DISHES", 25), ("CONTEXTS", 12)):
+        monkeypatch.setattr(language_model, name, size)
+    train = documents(spark).limit(80).select("doc_id", "text").cache()
+    words = language_model.word_counts(train).cache()
+    model, rare = language_model.fit(train, words, train.count(), words.count() + 1)
+    hot, factors = model.hot, model.factors.reshape(model.hot.n_contexts + 1, -1).astype(float)
+    others = rare.selectExpr("sum(pow(10, p)) AS s").first().s + 10**model.unknown_log
+    for context in range(hot.n_contexts + 1):
+        total = 10 ** (model.end_log + factors[context, 0]) + (10 ** (model.hot_log + factors[context, hot.dish])).sum()
+        assert abs(total + others * 10 ** factors[context, -1] - 1) < 1e-5
 
 
 def check_base(df, scored):
