@@ -171,9 +171,9 @@ def read_cards(spark: SparkSession, path: str, token: str = "Cage Card", most: i
 
 
 def read_logs_checked(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of all CSV logs under ``path`` that fit the schema, with their files; and the files with lines that don't: their number, and of how many the first column could be read."""
+    """Rows of all CSV logs under ``path`` that fit the schema, with their files; and the files with lines that don't: their number, and what could be read of one."""
     read = spark.read.schema(f"{schema}, _bad string").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path).withColumn("file", F.col("_metadata.file_name"))
-    bad = read.filter("_bad is not null").groupBy("file").agg(F.count(F.lit(1)).alias("n_bad"), F.count(read.columns[0]).alias("n_first"))
+    bad = read.filter("_bad is not null").groupBy("file").agg(F.count(F.lit(1)).alias("n_bad"), F.min(F.struct(*(c for c in read.columns if c not in ("_bad", "file")))).alias("example"))
     return read.filter("_bad is null").drop("_bad"), bad
 
 

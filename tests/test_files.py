@@ -79,7 +79,7 @@ def test_probe_settings_cards_and_logs(spark, tmp_path):
     (tmp_path / "logs/b.csv").write_text("k,v\n3,1\n")
     good, bad = fl.read_logs_checked(spark, str(tmp_path / "logs"), "k int, v double")
     good, bad = good.cache(), bad.collect()
-    assert sorted(r.k for r in good.collect()) == [1, 3] and [tuple(r) for r in bad] == [("a.csv", 1, 1)]
+    assert sorted(r.k for r in good.collect()) == [1, 3] and [(r.file, r.n_bad, r.example.k) for r in bad] == [("a.csv", 1, 2)]
 
 
 def test_written_signals_and_sorter_bytes(spark, tmp_path):
