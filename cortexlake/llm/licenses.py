@@ -44,6 +44,27 @@ SENTENCES = {
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-head",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-basis",
+    "this work is licensed under the gnu general public license version 2": "gpl2-ref",
+    "licensed under the gnu general public license version 2": "gpl2-ref",
+    "released under the gnu general public license version 2": "gpl2-ref",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21-grant",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-grant",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "lgpl-warranty",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-grant",
+    "licensed under the gnu affero general public license version 3": "agpl3-ref",
+    "released under the gnu affero general public license version 3": "agpl3-ref",
+    "this is free and unencumbered software released into the public domain": "unlicense-head",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-grant",
+    "licensed under cc0 1 0": "cc0-ref",
+    "this work is licensed under cc0 1 0": "cc0-ref",
+    "distributed under the boost software license version 1 0": "boost-ref",
+    "licensed under the boost software license version 1 0": "boost-ref",
+    "this software is provided as is without any express or implied warranty": "zlib-warranty",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl2-head",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl2-copy",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-warranty",
     "all rights reserved": "reserved",
 }
 # License and the ids of its sentences in order.
@@ -56,6 +77,16 @@ RULES = (
     ("GPL-3.0", ("gpl3-ref",)),
     ("GPL-3.0", ("gpl3-grant", "gpl-warranty")),
     ("GPL-2.0", ("gpl2-grant", "gpl-warranty")),
+    ("GPL-2.0", ("gpl2-ref",)),
+    ("LGPL-2.1", ("lgpl21-grant", "lgpl-warranty")),
+    ("LGPL-3.0", ("lgpl3-grant", "lgpl-warranty")),
+    ("AGPL-3.0", ("agpl3-ref",)),
+    ("AGPL-3.0", ("agpl3-grant", "gpl-warranty")),
+    ("Unlicense", ("unlicense-head", "unlicense-grant")),
+    ("CC0-1.0", ("cc0-ref",)),
+    ("BSL-1.0", ("boost-ref",)),
+    ("Zlib", ("zlib-warranty", "zlib-grant")),
+    ("EPL-2.0", ("epl2-head",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-ref",)),
     ("CC-BY-4.0", ("cc-by-ref",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-ref",)),

@@ -82,3 +82,40 @@ def test_verbatim_texts_wrapped_and_in_comments(spark):
     rows.append((len(rows), "Not " + ISC, ""))
     got = {r.doc_id: r.licenses for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string, licenses string")).collect()}
     assert got == {i: name for i, _, name in rows}
+
+
+def test_further_licenses_as_their_notices_are_written(spark):
+    texts = {
+        "LGPL-2.1": """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * This library is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU""",
+        "AGPL-3.0": """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU Affero General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version.
+//
+// This program is distributed in the hope that it will be useful,
+// but WITHOUT ANY WARRANTY; without even the implied warranty of
+// MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+        "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.""",
+        "Zlib": """  This software is provided 'as-is', without any express or implied
+  warranty.  In no event will the authors be held liable for any damages
+  arising from the use of this software.
+
+  Permission is granted to anyone to use this software for any purpose,
+  including commercial applications, and to alter it and redistribute it
+  freely, subject to the following restrictions:""",
+        "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. See the file.",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(texts.values())], "doc_id long, text string")
+    assert [r.licenses for r in license_scan(df).orderBy("doc_id").collect()] == list(texts)
