@@ -4,10 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from cortexlake.llm import language_model
 from cortexlake.llm.bytetext import chunks
 from cortexlake.llm.language_model import _seat, score_texts
+from cortexlake.llm.pair_blocks import CODE, cut, mixed, packed_steps, parts, unpacked_steps
 from cortexlake.llm.spelling import END, SPACE, spell
 
 from tests.llm.helpers import WORD, documents, none_of, odd_documents
@@ -53,17 +55,60 @@ def test_table_counts_follow_their_conditional():
     assert big[0] == 0 and big[1] == 1 and 1 <= big[2] <= 2 and 1 < big[3] < 10**9
 
 
-def test_probabilities_sum_to_one_in_each_context(spark, monkeypatch):
-    for name, size in (("FREQUENT", 60), ("DISHES", 25), ("CONTEXTS", 12)):
-        monkeypatch.setattr(language_model, name, size)
+def test_pairs_in_blocks_round_trip():
+    r = np.random.default_rng(0)
+    first, second = r.integers(0, 1 << CODE, 1000), r.integers(0, 1 << CODE, 1000)
+    x = mixed(first, second)
+    assert [v.tolist() for v in parts(x)] == [first.tolist(), second.tolist()]
+    x = np.unique(x)
+    got = [(k, unpacked_steps(packed_steps(x[s]), s.stop - s.start)) for k, s in cut(x, 7)]
+    assert np.array_equal(np.concatenate([v for _, v in got]), x) and [k for k, _ in got] == list(range(7))
+
+
+@pytest.mark.parametrize("frequent", [60, 1 << 18])
+def test_all_pairs_are_counted_and_probabilities_sum_to_one_in_each_context(spark, monkeypatch, frequent):
+    monkeypatch.setattr(language_model, "FREQUENT", frequent)
+    monkeypatch.setattr(language_model, "PER_BUCKET", 4000)
     train = documents(spark).limit(80).select("doc_id", "text").cache()
     words = language_model.word_counts(train).cache()
-    model, rare = language_model.fit(train, words, train.count(), words.count() + 1)
-    hot, factors = model.hot, model.factors.reshape(model.hot.n_contexts + 1, -1).astype(float)
-    others = rare.selectExpr("sum(pow(10, p)) AS s").first().s + 10**model.unknown_log
-    for context in range(hot.n_contexts + 1):
-        total = 10 ** (model.end_log + factors[context, 0]) + (10 ** (model.hot_log + factors[context, hot.dish])).sum()
-        assert abs(total + others * 10 ** factors[context, -1] - 1) < 1e-5
+    texts = [re.findall(WORD, low(r.text)) for r in train.collect()]
+    total = sum(len(t) + 1 for t in texts)
+    model, rare, pairs, _ = language_model.fit(train, words, len(texts), words.count() + 1, total)
+    hot = model.hot
+    assert 0 < len(hot.h) <= frequent
+    gains = language_model.pair_gains(pairs, model).toPandas()
+    before, dish = parts(gains["pair"].to_numpy(np.uint64))
+    common = Counter(x for t in texts for x in t)
+    least = int(hot.count.min())
+    code = lambda x: x if x is None or common[x] >= least else "others"
+    want = Counter((code(u), code(w)) for t in texts for u, w in zip([None, *t], [*t, None]))
+    assert sorted(gains["n"]) == sorted(want.values()) and gains["n"].sum() == total
+    others = rare.selectExpr("coalesce(sum(pow(10, p)), 0) AS s").first().s + 10**model.unknown_log
+    p = np.append(10 ** model.word_log[:-1], others)
+    for context in range(len(hot.h) + 2):
+        gain = np.zeros(len(p))
+        gain[dish[before == context]] = gains["gain"].to_numpy()[before == context]
+        assert abs((p * 10 ** (gain + model.back_log[context])).sum() - 1) < 1e-5
+
+
+def test_scores_are_the_sum_over_all_pairs_of_a_text(spark, monkeypatch):
+    """However few pairs are broadcast, and however many buckets there are, a text's score is the same."""
+    d = documents(spark).limit(60).cache()
+    scores = []
+    for hot, per_bucket in ((1 << 18, 1 << 21), (5, 1 << 21)):
+        monkeypatch.setattr(language_model, "HOT", hot)
+        monkeypatch.setattr(language_model, "PER_BUCKET", per_bucket)
+        scores.append(sorted((r.doc_id, r.score) for r in score_texts(d).collect()))
+    assert np.allclose(np.array(scores[0]), np.array(scores[1]), rtol=1e-6)
+
+
+def test_words_in_a_known_order_are_likelier(spark):
+    words = [f"w{i}" for i in range(40)]
+    r = np.random.default_rng(3)
+    rows = [(i, " ".join(words)) for i in range(60)] + [(1000 + i, " ".join(r.permutation(words))) for i in range(60)]
+    got = {x.doc_id: x for x in score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    held = [k for k, x in got.items() if x.held_out]
+    assert min(got[k].score for k in held if k < 1000) > max(got[k].score for k in held if k >= 1000) + 10
 
 
 def check_base(df, scored):
