@@ -61,6 +61,20 @@ def quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str
     return _at_rank(df, keys, value, lambda n: (n - 1) * F.lit(q) + 1.0, name)
 
 
+def place_descending(df: DataFrame, value: str, tie: str, name: str = "place") -> DataFrame:
+    """Each row's place from 1 by falling ``value``, equal ones by rising numeric ``tie``; neither may be null.
+
+    No task sorts all rows: rows of equal value are cut into RANGES ranges of the tie and numbered inside them, and only the
+    ranges' sizes, RANGES for each distinct value, are summed over the whole.
+    """
+    cuts = df.groupBy(value).agg(F.percentile_approx(tie, [k / RANGES for k in range(1, RANGES)], 4 * RANGES).alias("_cuts"))
+    ranged = df.join(cuts, value).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col(tie)))).drop("_cuts")
+    sizes = ranged.groupBy(value, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy(F.desc(value), "_range")) - F.col("_size")).drop("_size")
+    inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy(value, "_range").orderBy(tie)))
+    return inside.join(before, [value, "_range"]).withColumn(name, F.col("_in") + F.col("_before")).select(*df.columns, name)
+
+
 def circular_mean(df: DataFrame, keys: Sequence[str], degrees: str, weight: str | None = None) -> DataFrame:
     """Mean angle in degrees (0 to 360), resultant length and count, of unit vectors or of vectors as long as ``weight``."""
     a = F.radians(F.col(degrees))

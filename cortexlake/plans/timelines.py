@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cortexlake.operators import events as ev
+from cortexlake.operators import stats
 from cortexlake.plans.registry import HOUR, E, Tables, query
 
 DAY, PAIR = 24 * HOUR, 6 * HOUR
@@ -182,7 +183,7 @@ def _(t):
 @query("W16_rank_by_count", f"SELECT session, n, row_number() OVER (ORDER BY n DESC, session) AS place FROM (SELECT session, count(*) AS n FROM {E} GROUP BY session)")
 def _(t):
     counts = t.timeline.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "session")).cast("bigint"))
+    return stats.place_descending(counts, "n", "session")
 
 
 @query("W18_third_else_first", f"""SELECT session, coalesce(max(CASE WHEN k = 3 THEN event_id END), max(CASE WHEN k = 1 THEN event_id END)) AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t, event_id) AS k FROM {E}) GROUP BY session""")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cortexlake import plans
 from cortexlake.functions import dsp
 from cortexlake.operators import spectral as sp
+from cortexlake.operators import stats
 from cortexlake.operators.sources_density import forward_matrix
 from cortexlake.plans.registry import HOUR, Tables
 from cortexlake.sources import recordings as rec
@@ -135,3 +136,10 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     got = sorted((r.user_id, r.event_type, r.repeats) for r in spark.table("debounced").collect())
     batch = sorted((r.session, r.code, r.repeats) for r in plans.QUERIES["W02_debounce"](spark, DATA).collect())
     assert got == batch
+
+
+def test_places_by_falling_value_with_ties(spark):
+    rows = [(k, 3 if k % 3 else k % 7) for k in range(500)]
+    got = stats.place_descending(spark.createDataFrame(rows, "id long, n long"), "n", "id").collect()
+    want = {k: i + 1 for i, (k, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+    assert {r.id: r.place for r in got} == want
