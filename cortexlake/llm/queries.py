@@ -81,9 +81,15 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cortexlake.llm.hard_negatives import hard_negatives
+
+    return hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_minhash_near_dup, op3_secret_scan, op4_substring_dedup, op5_lm_scoring, op6_license_scan, op7_html_extraction, op8_best_fit_packing, op9_quality_rules, op10_decontamination, op12_merkle_manifest, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_minhash_near_dup, op3_secret_scan, op4_substring_dedup, op5_lm_scoring, op6_license_scan, op7_html_extraction, op8_best_fit_packing, op9_quality_rules, op10_decontamination, op12_merkle_manifest, op13_hard_negatives, pipeline)}
