@@ -75,6 +75,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cortexlake.llm.set_join import similar_documents
+
+    return similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cortexlake.llm.merkle import manifest
 
@@ -92,4 +98,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_minhash_near_dup, op3_secret_scan, op4_substring_dedup, op5_lm_scoring, op6_license_scan, op7_html_extraction, op8_best_fit_packing, op9_quality_rules, op10_decontamination, op12_merkle_manifest, op13_hard_negatives, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_minhash_near_dup, op3_secret_scan, op4_substring_dedup, op5_lm_scoring, op6_license_scan, op7_html_extraction, op8_best_fit_packing, op9_quality_rules, op10_decontamination, op11_jaccard_join, op12_merkle_manifest, op13_hard_negatives, pipeline)}
