@@ -5,8 +5,9 @@ order that holds for all sets. Here common shingles come last, so sets that only
 shingle are a group; who has no partner there by size and place is left out, and groups with the same members are one group. Each group's sets
 stand in a signature tree, whose dual traversal leaves few pairs to be intersected.
 
+Each set's largest group comes first. Those connect most copies, and the other groups count only if they still hold different components.
 A large group is cut into blocks. First each block is joined alone, which connects a crowd of copies; then blocks are cut
-anew by component, and two blocks meet only if they hold different components. A shingle that very many sets have is dealt out by
+anew by component, and two blocks meet only if they hold different components. Groups move signatures; texts follow only for sets that may still link. A shingle that very many sets have is dealt out by
 the set's number. Everything moved is a row for a set in a group or a list of ids; nothing stands in a row for each pair.
 """
 
@@ -16,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ from cortexlake.llm.bytetext import mix
 from cortexlake.llm.links import between, components, lists_of, packed_texts, unpack, whole_groups
 from cortexlake.llm.near_dup import _digests, _labelled, sets_of
 from cortexlake.llm.scratch import written
-from cortexlake.llm.signature_tree import alike
+from cortexlake.llm.signature_tree import alike, signatures
 
 WORDS, PERCENT = 4, 85
 #: Shingles put last: the most frequent of those that RUN shingles of the corpus, one after the other, hold in LEAST sets.
@@ -199,12 +201,17 @@ def _confirm(words: int, percent: int):
     return run
 
 
+def _forest(b: pa.RecordBatch) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Each row's tree, one for each side of a group, and the trees that meet."""
+    g, side = b.column("g").to_numpy(), b.column("side").to_numpy()
+    trees, tree = np.unique(np.stack([g, side], axis=1), axis=0, return_inverse=True)
+    pairs = [(k, k + 1) for k in range(len(trees) - 1) if trees[k, 1] == 1 and trees[k + 1, 0] == trees[k, 0]]
+    return tree.ravel(), [(k, k) for k in np.flatnonzero(trees[:, 1] == 0)] + pairs
+
+
 def _links(b: pa.RecordBatch, words: int, percent: int) -> Iterator[tuple[int, int]]:
     sets = [h[at[i] : at[i + 1]] for at, h in _sets_in(b, words) for i in range(len(at) - 1)]
-    g, side, ids = b.column("g").to_numpy(), b.column("side").to_numpy(), b.column("id").to_numpy()
-    trees, tree = np.unique(np.stack([g, side], axis=1), axis=0, return_inverse=True)
-    tree = tree.ravel()
-    meet = [(k, k) for k in np.flatnonzero(trees[:, 1] == 0)] + [(k, k + 1) for k in range(len(trees) - 1) if trees[k, 1] == 1 and trees[k + 1, 0] == trees[k, 0]]
+    ids = b.column("id").to_numpy()
     names, part = np.unique(b.column("root").to_numpy(), return_inverse=True)
     above = list(range(len(names)))
 
@@ -214,7 +221,8 @@ def _links(b: pa.RecordBatch, words: int, percent: int) -> Iterator[tuple[int, i
         return i
 
     tried: set[tuple[int, int]] = set()
-    for x, y in zip(*(v.tolist() for v in alike(sets, tree, meet, percent))):
+    size, head = np.array([len(s) for s in sets], np.int64), np.array([s[0] for s in sets])
+    for x, y in zip(*(v.tolist() for v in alike(signatures(sets), size, head, *_forest(b), percent))):
         p, q = top(part[x]), top(part[y])
         pair = (min(ids[x], ids[y]), max(ids[x], ids[y]))
         if p != q and pair not in tried:
@@ -225,7 +233,45 @@ def _links(b: pa.RecordBatch, words: int, percent: int) -> Iterator[tuple[int, i
                 yield pair
 
 
-def _decided(groups: DataFrame, texts: DataFrame, labels: DataFrame | None, words: int, percent: int) -> DataFrame | None:
+def _signed(texts: DataFrame, words: int) -> DataFrame:
+    """``id, size, head, signature`` of each text's set; signatures are compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            sets = [h[at[i] : at[i + 1]] for at, h in _sets_in(b, words) for i in range(len(at) - 1)]
+            size, head = [len(s) for s in sets], np.array([s[0] for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size, pa.int64()), pa.array(head), pa.array([squeeze(x.tobytes()) for x in signatures(sets)] if sets else [], pa.binary())], ["id", "size", "head", "signature"])
+
+    return texts.mapInArrow(run, "id long, size long, head long, signature binary")
+
+
+def _hopeful(percent: int, at_once: int = 4096):
+    """Of whole groups ``g`` of signed rows: the sets that may link with a set of another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = zstandard.ZstdDecompressor().decompress
+        for whole in whole_groups(batches, "g"):
+            g = whole.column("g").to_numpy()
+            new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+            lo = 0
+            while lo < len(g):
+                later = new[new >= lo + at_once]
+                hi = int(later[0]) if len(later) else len(g)
+                b = whole.slice(lo, hi - lo)
+                lo = hi
+                bits = np.frombuffer(b"".join(map(back, b.column("signature").to_pylist())), np.uint64).reshape(len(b), -1)
+                root = b.column("root").to_numpy()
+                x, y = alike(bits, b.column("size").to_numpy(), b.column("head").to_numpy(), *_forest(b), percent)
+                apart = root[x] != root[y]
+                some = np.zeros(len(b), bool)
+                some[x[apart]] = some[y[apart]] = True
+                yield b.select(["g", "side", "id", "root"]).filter(pa.array(some))
+
+    return run
+
+
+def _decided(groups: DataFrame, texts: DataFrame, signed: DataFrame, labels: DataFrame | None, words: int, percent: int) -> DataFrame | None:
     """Labels after the sets of each group (``g, side, ids``) have been joined; pairs of one component aren't looked at again."""
     rows = groups.select("g", "side", F.explode("ids").alias("id"))
     if labels is None:
@@ -234,8 +280,9 @@ def _decided(groups: DataFrame, texts: DataFrame, labels: DataFrame | None, word
         rooted = written(rows.join(labels.withColumnRenamed("node", "id"), "id", "left").select("g", "side", "id", F.coalesce("root", "id").alias("root")), "rooted-groups")
         mixed = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g")
         rows = rooted.join(mixed, "g", "left_semi")
-    links = rows.join(texts, "id").select("g", "side", "id", "root", "packed").repartition("g").sortWithinPartitions("g").mapInArrow(_confirm(words, percent), "a long, b long")
-    links = written(links, "links")
+    whole = lambda df, run, shape: df.repartition("g").sortWithinPartitions("g").mapInArrow(run, shape)
+    hopeful = written(whole(rows.join(signed, "id").select("g", "side", "id", "root", "size", "head", "signature"), _hopeful(percent), "g long, side int, id long, root long"), "hopeful-sets")
+    links = written(whole(hopeful.join(texts, "id").select("g", "side", "id", "root", "packed"), _confirm(words, percent), "a long, b long"), "links")
     return components(links.distinct() if labels is None else between(links, labels.select(F.col("node").alias("p_b"), F.col("root").alias("p_a"))), labels)
 
 
@@ -269,9 +316,12 @@ def joined(prefixed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], orde
     placed = _placed(prefixed, order).repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "id")
     met = written(placed.mapInArrow(_grouped(percent), _GROUP), "groups")
     small = met.filter("digest is not null").groupBy("digest").agg(F.first("ids").alias("ids")).select("ids")
-    groups = written(small.unionByName(met.filter("digest is null").select("ids")), "distinct-groups").select(F.monotonically_increasing_id().alias("g"), F.lit(0).alias("side"), "ids")
+    groups = written(small.unionByName(met.filter("digest is null").select("ids")).select(F.monotonically_increasing_id().alias("g"), F.lit(0).alias("side"), "ids"), "distinct-groups")
     texts = written(texts_of(groups.select(F.explode("ids").alias("id")).distinct()), "group-texts")
-    labels = _decided(groups, texts, labels, words, percent)
+    signed = written(_signed(texts, words), "signatures")
+    first = groups.select("g", F.size("ids").alias("n"), F.explode("ids").alias("id")).groupBy("id").agg(F.max(F.struct("n", "g")).alias("x")).select("x.g").distinct()
+    labels = _decided(groups.join(first, "g", "left_semi"), texts, signed, labels, words, percent)
+    labels = _decided(groups.join(first, "g", "left_anti"), texts, signed, labels, words, percent)
     large = met.filter("digest is null")
     if not large.take(1):
         return labels
@@ -286,7 +336,7 @@ def joined(prefixed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], orde
     cells = written(cells.select("block_a", "block_b", "ids_a", "ids_b"), "cells").withColumn("g", F.monotonically_increasing_id())
     same = F.col("block_a") == F.col("block_b")
     sides = F.when(same, F.array(F.struct(F.lit(0).alias("side"), F.col("ids_a").alias("ids")))).otherwise(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"ids_{c}").alias("ids")) for s, c in ((1, "a"), (2, "b")))))
-    return _decided(cells.select("g", F.explode(sides).alias("x")).select("g", "x.*"), texts, labels, words, percent)
+    return _decided(cells.select("g", F.explode(sides).alias("x")).select("g", "x.*"), texts, signed, labels, words, percent)
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -315,10 +365,11 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     reps = written(distinct.select("node", "of.doc_id", "of.text_hash", "size", "prefix", F.monotonically_increasing_id().alias("id")), "distinct-sets")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        needed = reps.select("id", F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).join(ids, "id", "left_semi")
-        texts = packed_texts(named.select(F.struct("doc_id", "text_hash").alias("key"), "text"), "key")
-        found = texts.join(needed, F.col("key.doc_id").eqNullSafe(F.col("_d")) & (F.col("key.text_hash") == F.col("_h")))
-        return found.groupBy("id").agg(F.first("packed").alias("packed"))
+        key = F.struct("doc_id", "text_hash").alias("key")
+        needed = reps.join(ids, "id", "left_semi").select("id", F.xxhash64("doc_id", "text_hash").alias("k"), key)
+        texts = packed_texts(named.select(key, "text"), "key").select(F.xxhash64("key.doc_id", "key.text_hash").alias("k"), F.col("key").alias("of"), "packed")
+        found = texts.join(needed, "k").filter(F.col("of.doc_id").eqNullSafe(F.col("key.doc_id")) & (F.col("of.text_hash") == F.col("key.text_hash")))
+        return found.groupBy("k", "id").agg(F.first("packed").alias("packed")).select("id", "packed")
 
     labels = joined(reps, texts_of, order, None, words, percent)
     return _labelled(sets, reps.select("id", "node", F.col("doc_id").alias("owner_id")), labels).select("doc_id", "n_shingles", "component_id")

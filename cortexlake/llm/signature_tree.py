@@ -36,11 +36,9 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _levels(sets: list[np.ndarray], tree: np.ndarray) -> list[Level]:
+def _levels(bits: np.ndarray, size: np.ndarray, tree: np.ndarray) -> list[Level]:
     """From the sets, in the order of ``tree``, up to one node for each tree."""
-    size = np.array([len(s) for s in sets], np.int64)
-    bits = signatures(sets)
-    levels = [Level(bits, size, size, size - np.bitwise_count(bits).sum(1, dtype=np.int64), np.arange(len(sets) + 1))]
+    levels = [Level(bits, size, size, size - np.bitwise_count(bits).sum(1, dtype=np.int64), np.arange(len(size) + 1))]
     while True:
         begins = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]]))
         if len(begins) == len(tree):
@@ -60,14 +58,14 @@ def _may_link(level: Level, x: np.ndarray, y: np.ndarray, percent: int) -> np.nd
     return keep[(100 + percent) * shared >= percent * (level.least[x] + level.least[y])]
 
 
-def alike(sets: list[np.ndarray], tree: np.ndarray, meet: list[tuple[int, int]], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of places of sets that may have 100 * intersection >= ``percent`` * union.
+def alike(bits: np.ndarray, size: np.ndarray, head: np.ndarray, tree: np.ndarray, meet: list[tuple[int, int]], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of places of sets that may have 100 * intersection >= ``percent`` * union, from their signatures and sizes.
 
-    ``tree`` is each set's tree, trees numbered from 0 without a gap; ``meet`` tells which trees to traverse together, a tree with itself for the pairs inside. Sets
-    aren't empty, and their members ascend, so the first one is a min-hash: sets that share it stand together in a tree.
+    ``tree`` is each set's tree, trees numbered from 0 without a gap; ``meet`` tells which trees to traverse together, a tree with itself for
+    the pairs inside. Sets with the same ``head``, such as their smallest hash, stand together in a tree. Sets aren't empty.
     """
-    order = np.lexsort(([len(s) for s in sets], [s[0] for s in sets], tree))
-    levels = _levels([sets[i] for i in order], tree[order])
+    order = np.lexsort((size, head, tree))
+    levels = _levels(bits[order], size[order], tree[order])
     pairs = np.array(meet, np.int64).reshape(-1, 2)
     x, y = pairs[:, 0], pairs[:, 1]
     for k in range(len(levels) - 1, -1, -1):

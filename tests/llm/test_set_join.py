@@ -6,7 +6,7 @@ import pytest
 
 from cortexlake.llm import set_join
 from cortexlake.llm.set_join import similar_documents
-from cortexlake.llm.signature_tree import alike
+from cortexlake.llm.signature_tree import alike, signatures
 
 from tests.llm.helpers import WORD, documents, none_of, odd_documents
 
@@ -85,7 +85,7 @@ def test_trees_lose_no_pair_that_links():
     tree = np.sort(r.integers(0, 3, len(sets)))
     r.shuffle(sets)
     meet = [(0, 0), (1, 2)]
-    got = set(map(frozenset, zip(*(v.tolist() for v in alike(sets, tree, meet, 85)))))
+    got = set(map(frozenset, zip(*(v.tolist() for v in alike(signatures(sets), np.array([len(s) for s in sets]), np.array([s[0] for s in sets]), tree, meet, 85)))))
     for i in range(len(sets)):
         for j in range(i):
             both = len(np.intersect1d(sets[i], sets[j]))
