@@ -11,14 +11,6 @@ def odd_padded(x: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([2 * x[0] - x[n:0:-1], x, 2 * x[-1] - x[-2 : -n - 2 : -1]]) if n > 0 else x
 
 
-def band_pass(x: np.ndarray, fs: float, low: float, high: float, order: int = 3) -> np.ndarray:
-    """Zero-phase Butterworth band-pass: the squared magnitude of the bilinear digital filter, as forward and backward passes give."""
-    pad = min(len(x) - 1, int(3 * fs / low))
-    y = odd_padded(np.asarray(x, float), pad)
-    out = np.fft.irfft(np.fft.rfft(y) * _squared_gain(len(y), fs, low, high, order), len(y))
-    return out[pad : pad + len(x)]
-
-
 def analytic(x: np.ndarray) -> np.ndarray:
     n = len(x)
     h = np.zeros(n)
@@ -29,38 +21,13 @@ def analytic(x: np.ndarray) -> np.ndarray:
     return np.fft.ifft(np.fft.fft(x) * h)
 
 
-def find_peaks(x: np.ndarray, height: float, distance: int = 1) -> np.ndarray:
-    """Local maxima (the middle of a plateau) of at least ``height``; of two nearer than ``distance`` the lower goes."""
-    d = np.diff(x)
-    change = np.flatnonzero(d)
-    up = np.flatnonzero((d[change[:-1]] > 0) & (d[change[1:]] < 0)) if len(change) > 1 else np.zeros(0, int)
-    at = (change[up] + 1 + change[up + 1]) // 2
-    at = at[x[at] >= height]
-    keep = np.ones(len(at), bool)
-    for k in np.argsort(x[at], kind="stable")[::-1]:
-        if keep[k]:
-            near = np.flatnonzero(np.abs(at - at[k]) < distance)
-            keep[near[near != k]] = False
-    return at[keep]
-
-
-def prominence(x: np.ndarray, p: int) -> float:
-    """How far the peak stands above the higher of its two bases."""
-    left = np.flatnonzero(x[:p] > x[p])
-    right = np.flatnonzero(x[p + 1 :] > x[p])
-    lo = x[(left[-1] if len(left) else 0) : p + 1].min()
-    hi = x[p : (p + 1 + right[0]) if len(right) else len(x)].min()
-    return float(x[p] - max(lo, hi))
-
-
-def width_at(x: np.ndarray, p: int, level: float) -> tuple[float, float]:
-    """Interpolated places around ``p`` where ``x`` falls to ``level`` (the ends if it doesn't)."""
-    left = np.flatnonzero(x[:p] <= level)
-    right = np.flatnonzero(x[p + 1 :] <= level)
-    a = left[-1] + (level - x[left[-1]]) / (x[left[-1] + 1] - x[left[-1]]) if len(left) else 0.0
-    k = p + 1 + right[0] if len(right) else None
-    b = k - (level - x[k]) / (x[k - 1] - x[k]) if k is not None else len(x) - 1.0
-    return float(a), float(b)
+def analytic_inside(x: np.ndarray, before: int, after: int) -> np.ndarray:
+    """The analytic signal of band-passed samples, of which the first ``before`` and last ``after`` are faded in and out, so that what lies between doesn't feel the cut."""
+    fade = lambda n: (lambda t: t - np.sin(2 * np.pi * t) / (2 * np.pi))((np.arange(n) + 0.5) / n) if n else np.zeros(0)
+    w = np.ones(len(x))
+    w[:before] *= fade(before)
+    w[len(x) - after :] *= fade(after)[::-1]
+    return analytic(x * w)
 
 
 def psd(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
@@ -71,22 +38,6 @@ def psd(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
     return np.fft.rfftfreq(len(x), 1 / fs), power
 
 
-def _squared_gain(n: int, fs: float, low: float, high: float, order: int) -> np.ndarray:
-    f = np.fft.rfftfreq(n, 1 / fs)
-    warp = np.tan(np.pi * np.minimum(f, fs / 2 * (1 - 1e-9)) / fs)
-    a, b = np.tan(np.pi * low / fs), np.tan(np.pi * high / fs)
-    with np.errstate(divide="ignore"):
-        return 1 / (1 + ((warp**2 - a * b) / (warp * (b - a))) ** (2 * order))
-
-
-def band_stop(x: np.ndarray, fs: float, low: float, high: float, order: int = 2) -> np.ndarray:
-    """Zero-phase Butterworth band-stop: what the squared band-pass magnitude of that order leaves over."""
-    pad = min(len(x) - 1, int(3 * fs / low))
-    y = odd_padded(np.asarray(x, float), pad)
-    out = np.fft.irfft(np.fft.rfft(y) * (1 - _squared_gain(len(y), fs, low, high, order)), len(y))
-    return out[pad : pad + len(x)]
-
-
 def fir_band_pass(fs: float, low: float, high: float, order: int) -> np.ndarray:
     """``order`` + 1 taps: a Hamming-windowed sinc band-pass with gain 1 at the band's centre."""
     k = np.arange(order + 1) - order / 2

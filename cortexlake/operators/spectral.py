@@ -12,8 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cortexlake.functions import dsp
+from cortexlake.functions.sections import butterworth
+from cortexlake.operators.detectors import block_rows, crossings, local_peaks, prominences, thinned
+from cortexlake.operators.recursive import BLOCK, filtered
+from cortexlake.operators.stages import settled
 
-BLOCK, OVERLAP = 1 << 16, 1 << 12
+OVERLAP = 1 << 12
+#: Periods of a band's lowest frequency by which blocks overlap for its analytic signal.
+CYCLES = 24
 
 
 def blocks(signal: DataFrame, block: int, overlap: int) -> DataFrame:
@@ -35,15 +41,37 @@ def _each_block(signal: DataFrame, kernel, schema: str, block: int, overlap: int
     return blocks(signal, block, overlap).groupBy("ch", "block").applyInPandas(run, schema)
 
 
-def band_passed(signal: DataFrame, fs: float, low: float, high: float, block: int = BLOCK, overlap: int = OVERLAP) -> DataFrame:
-    """``ch, i, v, envelope``: the band-passed signal and its analytic amplitude."""
+def analytic_of(passed: DataFrame, fs: float, low: float, high: float, block: int = BLOCK) -> DataFrame:
+    """``ch, i, v, envelope, phase, hz`` of a signal that has passed the band: amplitude and phase (radians) of the analytic signal, and its frequency.
+
+    Blocks overlap by CYCLES periods of the lowest frequency, faded, so that the result hardly depends on them. The frequency is
+    the phase's step to a sample, kept within the band; the first sample repeats the second's.
+    """
+    overlap = int(np.ceil(CYCLES * fs / low))
 
     def kernel(ch, i, v, own):
-        y = dsp.band_pass(v, fs, low, high) if len(v) > 3 else v
-        amplitude = np.abs(dsp.analytic(y)) if len(y) else y
-        return pd.DataFrame({"ch": ch, "i": i[own], "v": y[own], "envelope": amplitude[own]})
+        z = v.astype(complex)
+        if own.any():
+            a, b = int(np.argmax(own)), int(np.argmax(own[::-1]))
+            z = dsp.analytic_inside(v, a, b) if len(v) > 3 else z
+        return pd.DataFrame({"ch": ch, "i": i[own], "v": v[own], "envelope": np.abs(z)[own], "phase": np.angle(z)[own], "hz": dsp.instantaneous_frequency(z, fs, low, high)[own]})
+
+    return _each_block(passed, kernel, "ch int, i long, v double, envelope double, phase double, hz double", max(block, overlap), overlap)
+
+
+def band_parts(signal: DataFrame, fs: float, low: float, high: float, block: int = BLOCK) -> DataFrame:
+    """As ``analytic_of``, of the signal through an order 3 Butterworth band-pass without phase shift."""
+    return analytic_of(settled(filtered(signal, {"v": butterworth(fs, low, high)}, block), "band"), fs, low, high, block)
+
+
+def band_passed(signal: DataFrame, fs: float, low: float, high: float, block: int = BLOCK) -> DataFrame:
+    """``ch, i, v, envelope``: the band-passed signal and its analytic amplitude."""
+    return band_parts(signal, fs, low, high, block).select("ch", "i", "v", "envelope")
 
-    return _each_block(signal, kernel, "ch int, i long, v double, envelope double", block, overlap)
+
+def bands(signal: DataFrame, fs: float, of: dict[str, tuple[float, float]], block: int = BLOCK) -> DataFrame:
+    """``ch, i`` and the signal in each of the bands, in one pass."""
+    return filtered(signal, {name: butterworth(fs, *band) for name, band in of.items()}, block)
 
 
 def _filtered(signal: DataFrame, kernel, block: int, overlap: int) -> DataFrame:
@@ -55,9 +83,9 @@ def _filtered(signal: DataFrame, kernel, block: int, overlap: int) -> DataFrame:
     return _each_block(signal, run, "ch int, i long, v double", block, overlap)
 
 
-def band_stopped(signal: DataFrame, fs: float, low: float, high: float, block: int = BLOCK, overlap: int = OVERLAP) -> DataFrame:
-    """``ch, i, v`` without what lies between ``low`` and ``high``."""
-    return _filtered(signal, lambda v: dsp.band_stop(v, fs, low, high), block, overlap)
+def band_stopped(signal: DataFrame, fs: float, low: float, high: float, block: int = BLOCK) -> DataFrame:
+    """``ch, i, v`` without what lies between ``low`` and ``high``: one pair of poles, forwards and backwards."""
+    return filtered(signal, {"v": butterworth(fs, low, high, 1, "stop")}, block)
 
 
 def fir_band_passed(signal: DataFrame, fs: float, low: float, high: float, order: int, block: int = BLOCK, overlap: int = OVERLAP) -> DataFrame:
@@ -68,24 +96,14 @@ def fir_band_passed(signal: DataFrame, fs: float, low: float, high: float, order
     return _filtered(signal, lambda v: dsp.zero_phase_fir(v, taps), block, overlap)
 
 
-def analytic_parts(signal: DataFrame, fs: float, low: float, high: float, block: int = BLOCK, overlap: int = OVERLAP) -> DataFrame:
+def analytic_parts(signal: DataFrame, fs: float, low: float, high: float, block: int = BLOCK) -> DataFrame:
     """``ch, i, envelope, phase`` of the band-passed signal; the phase in radians."""
+    return band_parts(signal, fs, low, high, block).select("ch", "i", "envelope", "phase")
 
-    def kernel(ch, i, v, own):
-        z = dsp.analytic(dsp.band_pass(v, fs, low, high)) if len(v) > 3 else v.astype(complex)
-        return pd.DataFrame({"ch": ch, "i": i[own], "envelope": np.abs(z)[own], "phase": np.angle(z)[own]})
-
-    return _each_block(signal, kernel, "ch int, i long, envelope double, phase double", block, overlap)
 
-
-def instantaneous_frequency(signal: DataFrame, fs: float, low: float, high: float, block: int = BLOCK, overlap: int = OVERLAP) -> DataFrame:
+def instantaneous_frequency(signal: DataFrame, fs: float, low: float, high: float, block: int = BLOCK) -> DataFrame:
     """``ch, i, hz``: frequency of the band-passed signal from its phase, kept within the band."""
-
-    def kernel(ch, i, v, own):
-        z = dsp.analytic(dsp.band_pass(v, fs, low, high)) if len(v) > 3 else v.astype(complex)
-        return pd.DataFrame({"ch": ch, "i": i[own], "hz": dsp.instantaneous_frequency(z, fs, low, high)[own]})
-
-    return _each_block(signal, kernel, "ch int, i long, hz double", block, overlap)
+    return band_parts(signal, fs, low, high, block).select("ch", "i", "hz")
 
 
 def fft_resampled(signal: DataFrame, fs: int, to: int, block: int = BLOCK) -> DataFrame:
@@ -143,28 +161,18 @@ def amplitude_correlation(signal: DataFrame, a: int, b: int, fs: float, low: flo
     return cross_correlation(found.join(means, "ch").select("ch", "i", (F.col("envelope") - F.col("mean")).alias("v")), a, b, lag)
 
 
-def detected_peaks(signal: DataFrame, value: str, times_sd: float, distance: int, block: int = BLOCK, overlap: int = OVERLAP) -> DataFrame:
+def detected_peaks(signal: DataFrame, value: str, times_sd: float, distance: int, block: int = BLOCK) -> DataFrame:
     """Peaks of at least ``times_sd`` population deviations of the channel: ``ch, i, height, prominence, half_width, asymmetry``.
 
     Width is taken at half prominence, asymmetry is (after - before) / the shorter, in percent.
     """
-    limits = signal.groupBy("ch").agg((F.stddev_pop(value) * times_sd).alias("limit"))
-    scaled = signal.join(F.broadcast(limits), "ch").filter("limit > 0").select("ch", "i", (F.col(value) / F.col("limit")).alias("v"), "limit")
-    unit = scaled.select("ch", "i", "v")
-
-    def kernel(ch, i, v, own):
-        rows = []
-        for p in dsp.find_peaks(v, 1.0, distance) if len(v) > 2 else ():
-            if own[p]:
-                prom = dsp.prominence(v, p)
-                a, b = dsp.width_at(v, p, v[p] - prom / 2)
-                short = min(p - a, b - p)
-                rows.append((ch, int(i[p]), float(v[p]), prom, b - a, float((b - p) - (p - a)) / short * 100 if short > 0 else None))
-        return pd.DataFrame(rows, columns=["ch", "i", "height", "prominence", "half_width", "asymmetry"])
-
-    found = _each_block(unit, kernel, "ch int, i long, height double, prominence double, half_width double, asymmetry double", block, overlap)
-    back = found.join(F.broadcast(limits), "ch")
-    return back.select("ch", "i", (F.col("height") * F.col("limit")).alias("height"), (F.col("prominence") * F.col("limit")).alias("prominence"), "half_width", "asymmetry")
+    rows = block_rows(signal.select("ch", "i", F.col(value).alias("v")), ["v"], block)
+    limits = signal.groupBy("ch").agg((F.stddev_pop(value) * times_sd).alias("limit")).filter("limit > 0")
+    kept = settled(thinned(local_peaks(rows, "v").join(F.broadcast(limits), "ch").filter("v >= limit").select("ch", "i", "v"), distance), "peaks")
+    stand = settled(prominences(rows, "v", kept).withColumn("half", F.col("v") - F.col("prominence") / 2), "prominences")
+    wide = crossings(rows, "v", stand, "half")
+    before, after = F.col("i") - F.col("start"), F.col("stop") - F.col("i")
+    return wide.select("ch", "i", F.col("v").alias("height"), "prominence", (F.col("stop") - F.col("start")).alias("half_width"), (F.try_divide(after - before, F.least(before, after)) * 100).alias("asymmetry"))
 
 
 def mean_psd(signal: DataFrame, fs: float, size: int) -> DataFrame:

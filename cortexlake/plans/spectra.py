@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cortexlake.operators import detectors as dt
 from cortexlake.operators import spectral as sp
 from cortexlake.plans.registry import query
 
 # Bands in Hz.
 BANDS = {"theta": (6.0, 10.0), "slow_gamma": (25.0, 55.0), "fast_gamma": (60.0, 100.0), "ripple": (120.0, 180.0)}
+SPIKE = (5.0, 100.0)
 
 
 @query("D05_fft_resample")
@@ -41,6 +43,31 @@ def _(t):
     return sp.instantaneous_frequency(t.signal, 1000, *BANDS["ripple"])
 
 
+@query("D09_five_bands")
+def _(t):
+    return sp.bands(t.signal, 1000, {**BANDS, "spike": SPIKE})
+
+
+@query("D15_ripples")
+def _(t):
+    return dt.ripples(sp.band_parts(t.signal, 1000, *BANDS["ripple"]), 1000, 2.0, 1.0, distance=0.02, least_ms=5, least_hz=125, guard=0.01)
+
+
+@query("D16_spikes")
+def _(t):
+    return dt.spikes(sp.bands(t.signal, 1000, {"v": SPIKE}), 1000, 1.5, least=0.05, distance=0.02, prominence=0.1, raw=t.signal)
+
+
+@query("D17_thresholds")
+def _(t):
+    """What the detectors ask of each channel: heights of peaks and edges, distance (s), duration (s), frequency and amplitude."""
+    lit = lambda **x: [F.lit(v).cast("double").alias(k) for k, v in x.items()]
+    of = lambda df, v, sd, edge: df.groupBy("ch").agg((F.stddev_pop(v) * sd).alias("peak_height"), (F.stddev_pop(v) * edge if edge else F.lit(None).cast("double")).alias("edge_height"))
+    swr = of(sp.band_parts(t.signal, 1000, *BANDS["ripple"]), "envelope", 2.0, 1.0).select("ch", F.lit("swr").alias("kind"), "peak_height", "edge_height", *lit(isi=0.02, dur=0.005, inst_freq=125, min_amp=None))
+    ds = of(sp.bands(t.signal, 1000, {"v": SPIKE}), "v", 1.5, None).select("ch", F.lit("ds").alias("kind"), "peak_height", "edge_height", *lit(isi=0.02, dur=None, inst_freq=None, min_amp=0.05))
+    return swr.unionByName(ds)
+
+
 @query("D17_detected_kinds")
 def _(t):
     """Both detectors over all channels, in one table with the kind of each event."""

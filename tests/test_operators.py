@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from cortexlake import plans
-from cortexlake.functions import dsp
 from cortexlake.operators import spectral as sp
 from cortexlake.operators import stats
 from cortexlake.operators.sources_density import forward_matrix
@@ -16,6 +15,8 @@ from cortexlake.plans.registry import HOUR, Tables
 from cortexlake.sources import recordings as rec
 from cortexlake.streaming.timelines import debounced_stream
 
+from tests.brute import find_peaks
+
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -63,14 +64,14 @@ def test_filters_and_peaks(spark):
     fs, t = 1000, np.arange(20000) / 1000
     x = np.sin(2 * np.pi * 8 * t) + np.sin(2 * np.pi * 40 * t)
     df = spark.createDataFrame(pd.DataFrame({"ch": 1, "i": np.arange(len(x)), "v": x})).withColumn("ch", F.col("ch").cast("int"))
-    got = sp.band_passed(df, fs, 30, 50, block=5000, overlap=1000).orderBy("i").toPandas()
+    got = sp.band_passed(df, fs, 30, 50, block=5000).orderBy("i").toPandas()
     assert len(got) == len(x) and np.abs(got["v"] - np.sin(2 * np.pi * 40 * t)).iloc[500:-500].max() < 0.01
     assert abs(got["envelope"].iloc[1000:-1000] - 1).max() < 0.02
     y = np.zeros(3000)
     y[1000:1021] = np.concatenate([np.arange(11), np.arange(9, -1, -1)])
-    peaks = sp.detected_peaks(spark.createDataFrame(pd.DataFrame({"ch": 1, "i": np.arange(3000), "v": y})).withColumn("ch", F.col("ch").cast("int")), "v", 3.0, 5, block=1005, overlap=100).collect()
+    peaks = sp.detected_peaks(spark.createDataFrame(pd.DataFrame({"ch": 1, "i": np.arange(3000), "v": y})).withColumn("ch", F.col("ch").cast("int")), "v", 3.0, 5, block=1005).collect()
     assert [(r.i, round(r.height, 6), round(r.half_width, 6), round(r.asymmetry, 6)) for r in peaks] == [(1010, 10.0, 10.0, 0.0)]
-    assert dsp.find_peaks(np.array([0, 2, 2, 2, 0, 1, 0.0]), 0.5).tolist() == [2, 5]
+    assert find_peaks(np.array([0, 2, 2, 2, 0, 1, 0.0]), 0.5).tolist() == [2, 5]
 
 
 def test_spectra_and_lags(spark):
