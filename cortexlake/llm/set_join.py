@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cortexlake.llm.bytetext import mix
-from cortexlake.llm.links import between, components, lists_of, packed_texts, unpack, whole_groups
+from cortexlake.llm.links import between, components, lists_of, pack, unpack, whole_groups
 from cortexlake.llm.near_dup import _digests, _labelled, sets_of
 from cortexlake.llm.scratch import written
 from cortexlake.llm.signature_tree import alike, signatures
@@ -33,6 +33,8 @@ WORDS, PERCENT = 4, 85
 HEAVY, RUN, LEAST = 65_536, 1 << 21, 4
 #: Sets and shingles of a block; rows of a shingle that stay together.
 BLOCK, WEIGHT, TOGETHER = 512, 1 << 18, 65_536
+#: Bits that tell which documents are asked for.
+MARKS = 1 << 23
 #: Packed bytes confirmed together; each set counts as so many more.
 AT_ONCE, EACH = 1 << 21, 512
 
@@ -233,17 +235,52 @@ def _links(b: pa.RecordBatch, words: int, percent: int) -> Iterator[tuple[int, i
                 yield pair
 
 
-def _signed(texts: DataFrame, words: int) -> DataFrame:
-    """``id, size, head, signature`` of each text's set; signatures are compressed."""
+def _signatures_of(words: int):
+    """``size, head, signature`` of each text's set; signatures are compressed."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(texts: pa.Array) -> list[pa.Array]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
-            sets = [h[at[i] : at[i + 1]] for at, h in _sets_in(b, words) for i in range(len(at) - 1)]
-            size, head = [len(s) for s in sets], np.array([s[0] for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size, pa.int64()), pa.array(head), pa.array([squeeze(x.tobytes()) for x in signatures(sets)] if sets else [], pa.binary())], ["id", "size", "head", "signature"])
+        sets = [h[at[i] : at[i + 1]] for at, h in sets_of(texts, words) for i in range(len(at) - 1)]
+        head = np.array([s[0] if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+        return [pa.array([len(s) for s in sets], pa.int64()), pa.array(head), pa.array([squeeze(x.tobytes()) for x in signatures(sets)] if sets else [], pa.binary())]
+
+    return of, "size long, head long, signature binary"
 
-    return texts.mapInArrow(run, "id long, size long, head long, signature binary")
+
+_PACKED = (lambda texts: [pa.array(pack(texts.to_pylist()), pa.binary())], "packed binary")
+
+
+class Source:
+    """What is made of the texts of some sets: ``named`` has ``doc_id, text_hash, text``, ``reps`` the ``id`` of each set and its document.
+
+    A fixed number of bits tells most documents that aren't asked for before their texts are worked on or moved.
+    """
+
+    def __init__(self, named: DataFrame, reps: DataFrame):
+        key = F.struct("doc_id", "text_hash")
+        self.rows = named.select(F.xxhash64("doc_id", "text_hash").alias("k"), key.alias("of"), "text")
+        self.reps = reps.select("id", F.xxhash64("doc_id", "text_hash").alias("k"), key.alias("key"))
+
+    def of(self, ids: DataFrame, made: tuple[Callable[[pa.Array], list[pa.Array]], str]) -> DataFrame:
+        make, shape = made
+        names = [x.split()[0] for x in shape.split(", ")]
+        needed = written(self.reps.join(ids, "id", "left_semi"), "needed")
+        place = F.pmod(F.xxhash64("k"), F.lit(MARKS))
+        marks = np.zeros(MARKS, bool)
+        for r in needed.groupBy(F.bitmap_bucket_number(place + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits")).collect():  # MARKS / 8 bytes
+            lo = (r.b - 1) * 8 * len(r.bits)
+            marks[lo : lo + 8 * len(r.bits)] = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
+        bits = np.packbits(marks)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = b.column("place").to_numpy()
+                b = b.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+                yield pa.RecordBatch.from_arrays([b.column("k"), b.column("of"), *make(b.column("text"))], ["k", "of", *names])
+
+        found = self.rows.select("k", "of", "text", place.alias("place")).mapInArrow(run, f"k long, of struct<doc_id: long, text_hash: long>, {shape}").join(needed, "k")
+        same = F.col("of.doc_id").eqNullSafe(F.col("key.doc_id")) & (F.col("of.text_hash") == F.col("key.text_hash"))
+        return found.filter(same).groupBy("k", "id").agg(*(F.first(n).alias(n) for n in names)).select("id", *names)
 
 
 def _hopeful(percent: int, at_once: int = 4096):
@@ -271,7 +308,7 @@ def _hopeful(percent: int, at_once: int = 4096):
     return run
 
 
-def _decided(groups: DataFrame, texts: DataFrame, signed: DataFrame, labels: DataFrame | None, words: int, percent: int) -> DataFrame | None:
+def _decided(groups: DataFrame, source: Source, signed: DataFrame, labels: DataFrame | None, words: int, percent: int) -> DataFrame | None:
     """Labels after the sets of each group (``g, side, ids``) have been joined; pairs of one component aren't looked at again."""
     rows = groups.select("g", "side", F.explode("ids").alias("id"))
     if labels is None:
@@ -282,6 +319,7 @@ def _decided(groups: DataFrame, texts: DataFrame, signed: DataFrame, labels: Dat
         rows = rooted.join(mixed, "g", "left_semi")
     whole = lambda df, run, shape: df.repartition("g").sortWithinPartitions("g").mapInArrow(run, shape)
     hopeful = written(whole(rows.join(signed, "id").select("g", "side", "id", "root", "size", "head", "signature"), _hopeful(percent), "g long, side int, id long, root long"), "hopeful-sets")
+    texts = source.of(hopeful.select("id").distinct(), _PACKED)
     links = written(whole(hopeful.join(texts, "id").select("g", "side", "id", "root", "packed"), _confirm(words, percent), "a long, b long"), "links")
     return components(links.distinct() if labels is None else between(links, labels.select(F.col("node").alias("p_b"), F.col("root").alias("p_a"))), labels)
 
@@ -307,21 +345,19 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return written(sorted_.mapInArrow(run, "token long, block long, least long, most long, rest long, lo long, hi long, ids array<long>"), "blocks")
 
 
-def joined(prefixed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], order: Order, labels: DataFrame | None, words: int, percent: int) -> DataFrame | None:
+def joined(prefixed: DataFrame, source: Source, order: Order, labels: DataFrame | None, words: int, percent: int) -> DataFrame | None:
     """Component labels of the sets after all links between them, as ``components`` gives them.
 
-    ``prefixed`` has ``id, size, prefix`` by ``order``; ``texts_of`` gives ``id, packed`` for some of these ids; ``labels`` are those of links
-    known already.
+    ``prefixed`` has ``id, size, prefix`` by ``order``, ``source`` the texts of these ids; ``labels`` are those of links known already.
     """
     placed = _placed(prefixed, order).repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "id")
     met = written(placed.mapInArrow(_grouped(percent), _GROUP), "groups")
     small = met.filter("digest is not null").groupBy("digest").agg(F.first("ids").alias("ids")).select("ids")
     groups = written(small.unionByName(met.filter("digest is null").select("ids")).select(F.monotonically_increasing_id().alias("g"), F.lit(0).alias("side"), "ids"), "distinct-groups")
-    texts = written(texts_of(groups.select(F.explode("ids").alias("id")).distinct()), "group-texts")
-    signed = written(_signed(texts, words), "signatures")
+    signed = written(source.of(groups.select(F.explode("ids").alias("id")).distinct(), _signatures_of(words)), "signatures")
     first = groups.select("g", F.size("ids").alias("n"), F.explode("ids").alias("id")).groupBy("id").agg(F.max(F.struct("n", "g")).alias("x")).select("x.g").distinct()
-    labels = _decided(groups.join(first, "g", "left_semi"), texts, signed, labels, words, percent)
-    labels = _decided(groups.join(first, "g", "left_anti"), texts, signed, labels, words, percent)
+    labels = _decided(groups.join(first, "g", "left_semi"), source, signed, labels, words, percent)
+    labels = _decided(groups.join(first, "g", "left_anti"), source, signed, labels, words, percent)
     large = met.filter("digest is null")
     if not large.take(1):
         return labels
@@ -336,7 +372,7 @@ def joined(prefixed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], orde
     cells = written(cells.select("block_a", "block_b", "ids_a", "ids_b"), "cells").withColumn("g", F.monotonically_increasing_id())
     same = F.col("block_a") == F.col("block_b")
     sides = F.when(same, F.array(F.struct(F.lit(0).alias("side"), F.col("ids_a").alias("ids")))).otherwise(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"ids_{c}").alias("ids")) for s, c in ((1, "a"), (2, "b")))))
-    return _decided(cells.select("g", F.explode(sides).alias("x")).select("g", "x.*"), texts, signed, labels, words, percent)
+    return _decided(cells.select("g", F.explode(sides).alias("x")).select("g", "x.*"), source, signed, labels, words, percent)
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -363,13 +399,5 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     of = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("of")
     distinct = sets.filter("node is not null").groupBy("node").agg(of, F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"))
     reps = written(distinct.select("node", "of.doc_id", "of.text_hash", "size", "prefix", F.monotonically_increasing_id().alias("id")), "distinct-sets")
-
-    def texts_of(ids: DataFrame) -> DataFrame:
-        key = F.struct("doc_id", "text_hash").alias("key")
-        needed = reps.join(ids, "id", "left_semi").select("id", F.xxhash64("doc_id", "text_hash").alias("k"), key)
-        texts = packed_texts(named.select(key, "text"), "key").select(F.xxhash64("key.doc_id", "key.text_hash").alias("k"), F.col("key").alias("of"), "packed")
-        found = texts.join(needed, "k").filter(F.col("of.doc_id").eqNullSafe(F.col("key.doc_id")) & (F.col("of.text_hash") == F.col("key.text_hash")))
-        return found.groupBy("k", "id").agg(F.first("packed").alias("packed")).select("id", "packed")
-
-    labels = joined(reps, texts_of, order, None, words, percent)
+    labels = joined(reps, Source(named, reps), order, None, words, percent)
     return _labelled(sets, reps.select("id", "node", F.col("doc_id").alias("owner_id")), labels).select("doc_id", "n_shingles", "component_id")
