@@ -3,8 +3,9 @@
 Every distinct shingle set has HASHES min-hashes. Each of TREES sorted orders looks at DEPTH of them, and no two orders begin
 with the same ones. In an order, sets are compared with the neighbours that share the longest prefix with them: at
 least LEAST_DEPTH hashes, and in a crowded region, where more than NEIGHBOURS others share that much, only the nearest and so
-deepest ones. Each order is one range-partitioned sort, so a crowded region is split between tasks like any other rows; sets of
-crowded regions are then sorted in further families of orders until a family finds no more links.
+deepest ones. Each order is one range-partitioned sort, so a crowded region is split between tasks like any other rows. Sets of
+crowded regions, where neighbours were left out, then go through an exact join among themselves, so that no link is lost to the
+number of neighbours.
 
 A sorted order is cut into short stretches, and a pair belongs to a stretch where it met. Candidates are confirmed on the full sets
 stretch by stretch: each set's text goes once to each stretch where some pair of it is to be decided, so what is moved follows
@@ -22,18 +23,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cortexlake.llm.bytetext import chunks, distinct_in_text, mix, shingle_hashes
+from cortexlake.llm.bytetext import mix
 from cortexlake.llm.links import between, components, lists_of, pack, unpack, whole_groups
 from cortexlake.llm.scratch import numbered, written
+from cortexlake.llm.set_join import PackedTexts, heavy_order, joined, prefixed
+from cortexlake.llm.shingle_sets import digests, labelled, sets_of
 
 WORDS = 5
 #: Links need 100 * intersection >= percent * union.
 PERCENT = 80
 HASHES, TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 128, 32, 16, 4, 16
-#: Hashes that stand together in an order; orders are made of DEPTH / GROUP such groups, the next one FAMILIES[f] groups further.
+#: Hashes that stand together in an order; orders are made of DEPTH / GROUP such groups, the next one STEP groups further.
 GROUP = HASHES // TREES
-FAMILIES = (10, 3, 7, 13, 5, 9, 11, 15, 6, 14, 12)
-#: Orders of the first family whose candidates are confirmed together.
+STEP = 10
+#: Orders whose candidates are confirmed together.
 BATCHES = ((0, 2), (2, 8), (8, TREES))
 #: Sorted rows in a stretch, and at least in a sorted partition.
 STRETCH, LEAST_ROWS = 128, 4096
@@ -45,24 +48,6 @@ def _multipliers(n: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def sets_of(texts: pa.Array, words: int = WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For runs of texts, in order: where each text's hashes begin (one more: the end), and the distinct hashes."""
-    for c in chunks(texts):
-        w = c.words(lower=True)
-        h, first = shingle_hashes(w, words)
-        doc, h = distinct_in_text(w.doc[first], h)
-        yield np.searchsorted(doc, np.arange(len(c) + 1)), h
-
-
-def _digests(at: np.ndarray, h: np.ndarray) -> list[bytes | None]:
-    """16 bytes for each set that depend on nothing but its members; None for an empty set."""
-    with np.errstate(over="ignore"):
-        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (h, mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
-        both = np.stack([mix(s[at[1:]] - s[at[:-1]] + np.diff(at).astype(np.uint64)) for s in sums], axis=1)
-    raw = both.astype(">u8").tobytes()
-    return [raw[16 * i : 16 * i + 16] if at[i + 1] > at[i] else None for i in range(len(at) - 1)]
-
-
 def _signatures(at: np.ndarray, h: np.ndarray) -> list[bytes | None]:
     """HASHES min-hashes of each set, two bytes each."""
     full = np.flatnonzero(at[1:] > at[:-1])
@@ -83,8 +68,8 @@ def _sets(docs: DataFrame, signed: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             node, size, sig = [], [], []
-            for at, h in sets_of(b.column("text")):
-                node += _digests(at, h)
+            for at, h in sets_of(b.column("text"), WORDS):
+                node += digests(at, h)
                 size += np.diff(at).tolist()
                 sig += _signatures(at, h) if signed else []
             cols = [b.column("doc_id"), pa.array(node, pa.binary()), pa.array(size, pa.int64()), *([pa.array(sig, pa.binary())] if signed else [])]
@@ -93,10 +78,10 @@ def _sets(docs: DataFrame, signed: bool) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node binary, n_shingles long" + ", sig binary" * signed)
 
 
-def _tree_rows(reps: DataFrame, further: int) -> DataFrame:
+def _tree_rows(reps: DataFrame) -> DataFrame:
     size = 2 * GROUP
     group = lambda g: F.expr(f"substring(sig, {1 + g % TREES * size}, {size})")
-    keys = F.array(*(F.concat(F.unhex(F.lit(f"{t:02x}")), *(group(t + further * k) for k in range(DEPTH // GROUP))) for t in range(TREES)))
+    keys = F.array(*(F.concat(F.unhex(F.lit(f"{t:02x}")), *(group(t + STEP * k) for k in range(DEPTH // GROUP))) for t in range(TREES)))
     return reps.select(F.explode(keys).alias("key"), "id", "size")
 
 
@@ -193,9 +178,9 @@ def _neighbours(rows: DataFrame, percent: int) -> DataFrame:
     return met.filter("key is null").unionByName(cut).select("g", "t", "id", "earlier", "crowded")
 
 
-def _sorted_orders(reps: DataFrame, further: int) -> DataFrame:
+def _sorted_orders(reps: DataFrame) -> DataFrame:
     n = max(1, min(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), reps.count() * TREES // LEAST_ROWS))
-    return _tree_rows(reps, further).repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
+    return _tree_rows(reps).repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
 
 
 def _codes(*columns: np.ndarray) -> np.ndarray:
@@ -306,7 +291,7 @@ def _confirm(percent: int, at_once: int = 1 << 21):
                 hi = int(later[0]) if len(later) else len(g)
                 b = whole.slice(lo, hi - lo)
                 lo = hi
-                sets = [h[at[i] : at[i + 1]] for at, h in sets_of(unpack(b.column("packed"))) for i in range(len(at) - 1)]
+                sets = [h[at[i] : at[i + 1]] for at, h in sets_of(unpack(b.column("packed")), WORDS) for i in range(len(at) - 1)]
                 ids, here = b.column("id").to_numpy(), b.column("g").to_numpy()
                 partner, row = _flat(b, "partners")
                 code = _codes(np.concatenate([here, here[row]]), np.concatenate([ids, partner]))
@@ -350,7 +335,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = written(_sets(docs, True), "shingle-sets")
     distinct = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size"))
     reps = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-sets")
-    met = _neighbours(_sorted_orders(reps, FAMILIES[0]), percent)
+    met = _neighbours(_sorted_orders(reps), percent)
 
     ends = met.select("id").distinct()
     needed = reps.select("id", "node", F.col("doc_id").alias("owner_id")).join(ends, "id", "left_semi")
@@ -362,12 +347,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     for lo, hi in BATCHES:
         labels, tried, _ = _round(met.filter((F.col("t") >= lo) & (F.col("t") < hi)), texts, labels, tried, percent)
     crowded = written(met.filter("crowded").select("id").distinct(), "crowded")
-    searched = written(reps.join(crowded, "id", "left_semi"), "crowded-sets") if crowded.take(1) else None
-    for further in FAMILIES[1:] if searched is not None else ():
-        labels, tried, more = _round(_neighbours(_sorted_orders(searched, further), percent), texts, labels, tried, percent)
-        if not more:
-            break
-    return _labelled(sets, reps.select("id", "node", F.col("doc_id").alias("owner_id")), labels)
+    if crowded.take(1):
+        crowd = written(texts.join(crowded, "id", "left_semi"), "crowded-texts")
+        order = heavy_order(crowd, WORDS)
+        labels = joined(prefixed(crowd, order, WORDS, percent), PackedTexts(crowd), order, labels, WORDS, percent)
+    return labelled(sets, reps.select("id", "node", F.col("doc_id").alias("owner_id")), labels)
 
 
 def _named_texts(docs: DataFrame) -> DataFrame:
@@ -375,24 +359,12 @@ def _named_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node = [x for at, h in sets_of(b.column("text")) for x in _digests(at, h)]
+            node = [x for at, h in sets_of(b.column("text"), WORDS) for x in digests(at, h)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node, pa.binary()), pa.array(pack(b.column("text").to_pylist()), pa.binary())], ["doc_id", "digest", "packed"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, packed binary")
 
 
-def _labelled(sets: DataFrame, owner: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        least = owner.select("node", F.col("owner_id").alias("component_id"))
-    else:
-        rooted = owner.join(roots.withColumnRenamed("node", "id"), "id", "left").select("node", "owner_id", F.coalesce("root", "id").alias("root"))
-        smallest = rooted.groupBy("root").agg(F.min("owner_id").alias("component_id"))
-        least = rooted.select("node", "root").join(smallest, "root").select("node", "component_id")
-    full = sets.select("doc_id", "node", "n_shingles").join(least, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return full.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the smallest id, one of them if several have it.
 

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from cortexlake.llm.bytetext import mix
 from cortexlake.llm.links import between, components, lists_of, pack, unpack, whole_groups
-from cortexlake.llm.near_dup import _digests, _labelled, sets_of
 from cortexlake.llm.scratch import written
+from cortexlake.llm.shingle_sets import digests, labelled, sets_of
 from cortexlake.llm.signature_tree import alike, signatures
 
 WORDS, PERCENT = 4, 85
@@ -89,7 +89,7 @@ def heavy_order(texts: DataFrame, words: int) -> Order:
     return Order(top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy())
 
 
-def _placed(prefixed: DataFrame, order: Order) -> DataFrame:
+def _placed(sets: DataFrame, order: Order) -> DataFrame:
     """A row for each shingle of each prefix: ``token, salt, id, size, rest``; ``rest`` are the members from this one on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +105,7 @@ def _placed(prefixed: DataFrame, order: Order) -> DataFrame:
                 salt = np.where(shares > 1, (mix(ids.astype(np.uint64)) % np.maximum(shares, 1).astype(np.uint64)).astype(np.int64), -1)
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(ids), pa.array(size.astype(np.int32)), pa.array(rest.astype(np.int32))], ["token", "salt", "id", "size", "rest"])
 
-    return prefixed.select("id", "size", "prefix").mapInArrow(run, "token long, salt int, id long, size int, rest int")
+    return sets.select("id", "size", "prefix").mapInArrow(run, "token long, salt int, id long, size int, rest int")
 
 
 def _cuts(size: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -283,6 +283,36 @@ class Source:
         return found.filter(same).groupBy("k", "id").agg(*(F.first(n).alias(n) for n in names)).select("id", *names)
 
 
+class PackedTexts:
+    """A source of sets whose texts are at hand as ``id, packed``."""
+
+    def __init__(self, texts: DataFrame):
+        self.texts = texts
+
+    def of(self, ids: DataFrame, made: tuple[Callable[[pa.Array], list[pa.Array]], str]) -> DataFrame:
+        make, shape = made
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column("id"), *make(unpack(b.column("packed")))], ["id", *(x.split()[0] for x in shape.split(", "))])
+
+        return self.texts.join(ids, "id", "left_semi").mapInArrow(run, f"id long, {shape}")
+
+
+def prefixed(texts: DataFrame, order: Order, words: int, percent: int) -> DataFrame:
+    """``id, size, prefix`` of ``id, packed``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, prefix = [], []
+            for at, h in _sets_in(b, words):
+                size += np.diff(at).tolist()
+                prefix += order.prefixes(at, h, percent)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size, pa.int64()), pa.array(prefix, pa.binary())], ["id", "size", "prefix"])
+
+    return texts.select("id", "packed").mapInArrow(run, "id long, size long, prefix binary")
+
+
 def _hopeful(percent: int, at_once: int = 4096):
     """Of whole groups ``g`` of signed rows: the sets that may link with a set of another component."""
 
@@ -308,7 +338,7 @@ def _hopeful(percent: int, at_once: int = 4096):
     return run
 
 
-def _decided(groups: DataFrame, source: Source, signed: DataFrame, labels: DataFrame | None, words: int, percent: int) -> DataFrame | None:
+def _decided(groups: DataFrame, source: Source | PackedTexts, signed: DataFrame, labels: DataFrame | None, words: int, percent: int) -> DataFrame | None:
     """Labels after the sets of each group (``g, side, ids``) have been joined; pairs of one component aren't looked at again."""
     rows = groups.select("g", "side", F.explode("ids").alias("id"))
     if labels is None:
@@ -345,12 +375,12 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return written(sorted_.mapInArrow(run, "token long, block long, least long, most long, rest long, lo long, hi long, ids array<long>"), "blocks")
 
 
-def joined(prefixed: DataFrame, source: Source, order: Order, labels: DataFrame | None, words: int, percent: int) -> DataFrame | None:
+def joined(sets: DataFrame, source: Source | PackedTexts, order: Order, labels: DataFrame | None, words: int, percent: int) -> DataFrame | None:
     """Component labels of the sets after all links between them, as ``components`` gives them.
 
-    ``prefixed`` has ``id, size, prefix`` by ``order``, ``source`` the texts of these ids; ``labels`` are those of links known already.
+    ``sets`` has ``id, size, prefix`` by ``order``, ``source`` the texts of these ids; ``labels`` are those of links known already.
     """
-    placed = _placed(prefixed, order).repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "id")
+    placed = _placed(sets, order).repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "id")
     met = written(placed.mapInArrow(_grouped(percent), _GROUP), "groups")
     small = met.filter("digest is not null").groupBy("digest").agg(F.first("ids").alias("ids")).select("ids")
     groups = written(small.unionByName(met.filter("digest is null").select("ids")).select(F.monotonically_increasing_id().alias("g"), F.lit(0).alias("side"), "ids"), "distinct-groups")
@@ -390,7 +420,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         for b in batches:
             node, size, prefix = [], [], []
             for at, h in _sets_in(b, words):
-                node += _digests(at, h)
+                node += digests(at, h)
                 size += np.diff(at).tolist()
                 prefix += order.prefixes(at, h, percent)
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(node, pa.binary()), pa.array(size, pa.int64()), pa.array(prefix, pa.binary())], ["doc_id", "text_hash", "node", "n_shingles", "prefix"])
@@ -400,4 +430,4 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     distinct = sets.filter("node is not null").groupBy("node").agg(of, F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"))
     reps = written(distinct.select("node", "of.doc_id", "of.text_hash", "size", "prefix", F.monotonically_increasing_id().alias("id")), "distinct-sets")
     labels = joined(reps, Source(named, reps), order, None, words, percent)
-    return _labelled(sets, reps.select("id", "node", F.col("doc_id").alias("owner_id")), labels).select("doc_id", "n_shingles", "component_id")
+    return labelled(sets, reps.select("id", "node", F.col("doc_id").alias("owner_id")), labels).select("doc_id", "n_shingles", "component_id")

@@ -78,3 +78,21 @@ def test_rows_with_the_same_id_or_none_are_judged_one_by_one(spark):
     out = one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     want = [(1, one), (None, two), (2, four), (3, three + " more"), (3, "text of its own"), (None, None), (None, None)]
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_links_inside_a_crowd_below_the_limit(spark):
+    """Every set has hundreds of neighbours just below the limit and at most one partner above it."""
+    r = random.Random(11)
+    base, rows = [f"w{i}" for i in range(400)], []
+    for k in range(900):
+        words = [*base]
+        for _ in range(8):
+            words[r.randrange(400)] = f"n{k}x{r.randrange(9)}"
+        rows.append((k, " ".join(words)))
+        if k % 20 == 0:
+            words[r.randrange(400)] = f"p{k}"
+            words[r.randrange(400)] = f"q{k}"
+            rows.append((5000 + k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute(rows, 85)
+    assert sorted(map(tuple, near_duplicates(df, 85).collect()), key=str) == want and 45 <= sum(d != c for d, _, c, _ in want) < 300
