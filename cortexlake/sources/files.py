@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,37 +116,44 @@ def extracted(records: DataFrame, fields: list[str], mode: str = "all", values:
 
 
 def read_workbook(spark: SparkSession, path: str, header_row: int = 1, pattern: str = "*.xlsx") -> DataFrame:
-    """``path, sheet, row, name, value``: the cells below the header row of every sheet, as text, by the header above them."""
+    """``path, sheet, position, row, name, value``: the cells below the header row of every sheet, as text, by the header above them.
+
+    ``position`` is the sheet's place in the book, from 0. A sheet's cells are found by its relation, so the order of the files in the book doesn't matter.
+    """
     ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+    relation = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
-    def cells(content: bytes) -> Iterator[tuple[str, int, str, str]]:
+    def cells(content: bytes) -> Iterator[tuple[str, int, int, str, str]]:
         with zipfile.ZipFile(io.BytesIO(content)) as book:
             shared = ["".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in book.namelist() else []
-            names = [s.get("name") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).find("m:sheets", ns)]
-            for k, sheet in enumerate(names):
+            targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+            for k, listed in enumerate(ElementTree.fromstring(book.read("xl/workbook.xml")).find("m:sheets", ns)):
+                sheet, target = listed.get("name"), targets[listed.get(relation)]
+                if "worksheets/" not in target:
+                    continue  # a sheet of charts has no cells
                 header: dict[str, str] = {}
-                for c in ElementTree.fromstring(book.read(f"xl/worksheets/sheet{k + 1}.xml")).iter(f"{{{ns['m']}}}c"):
+                for c in ElementTree.fromstring(book.read(target[1:] if target.startswith("/") else f"xl/{target}")).iter(f"{{{ns['m']}}}c"):
                     letters, row = re.match(r"([A-Z]+)(\d+)", c.get("r")).groups()
                     value = c.find("m:v", ns)
                     shown = "".join(t.text or "" for t in c.iter(f"{{{ns['m']}}}t")) if c.get("t") == "inlineStr" else None if value is None else shared[int(value.text)] if c.get("t") == "s" else value.text
                     if int(row) == header_row and shown is not None:
                         header[letters] = shown
                     elif int(row) > header_row and shown is not None and letters in header:
-                        yield sheet, int(row), header[letters], shown
+                        yield sheet, k, int(row), header[letters], shown
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                rows = list(zip(*cells(content))) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows[0]), pa.string()), *(pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int64(), pa.string(), pa.string())))], ["path", "sheet", "row", "name", "value"])
+                rows = list(zip(*cells(content))) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows[0]), pa.string()), *(pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())))], ["path", "sheet", "position", "row", "name", "value"])
 
-    return _content(spark, path, pattern).mapInArrow(run, "path string, sheet string, row long, name string, value string")
+    return _content(spark, path, pattern).mapInArrow(run, "path string, sheet string, position long, row long, name string, value string")
 
 
 def sheet(cells: DataFrame, name: str | None, columns: list[str]) -> DataFrame:
-    """A sheet of read_workbook() as a table; without one of that name, the first by name. Missing cells are null."""
-    first = cells.groupBy("path").agg(F.max(F.when(F.col("sheet") == name, F.col("sheet"))).alias("named"), F.min("sheet").alias("least"))
-    own = cells.join(first, "path").filter(F.col("sheet") == F.coalesce("named", "least"))
+    """A sheet of read_workbook() as a table; without one of that name, the book's first with cells. Missing cells are null."""
+    first = cells.groupBy("path").agg(F.max(F.when(F.col("sheet") == name, F.col("position"))).alias("named"), F.min("position").alias("least"))
+    own = cells.join(first, "path").filter(F.col("position") == F.coalesce("named", "least"))
     return own.groupBy("path", "row").pivot("name", columns).agg(F.first("value"))
 
 
@@ -200,17 +208,27 @@ def patched_header(content: Column, fs: int) -> Column:
 
 
 def sorter_blocks(signal: DataFrame, channels: int, unit: float = 0.195, block: int = 1 << 16) -> DataFrame:
-    """``block, content``: 16-bit integers of all channels of a sample one after the other, in blocks to be joined in order; missing samples are 0."""
-
-    def run(key: tuple, rows):
-        import pandas as pd
+    """``block, content``: 16-bit integers of all channels of a sample one after the other, in blocks to be joined in order.
 
-        i = rows["i"].to_numpy() - int(key[0]) * block
-        grid = np.zeros((int(i.max()) + 1, channels), "<i2")
-        grid[i, rows["ch"].to_numpy() - 1] = np.clip(np.rint(rows["v"].to_numpy() / unit), -32768, 32767)
+    Missing samples and blocks are 0, so each sample keeps its place; only the last block is shorter, up to the last sample. A channel
+    outside 1 to ``channels`` is an error.
+    """
+    end = signal.agg(F.max("i")).first()[0]
+    end = -1 if end is None else int(end)
+    count = -(-(end + 1) // block)
+
+    def run(key: tuple, places: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        lo = int(key[0]) * block
+        grid = np.zeros((min(block, end + 1 - lo), channels), "<i2")
+        if len(rows):
+            if not rows["ch"].between(1, channels).all():
+                raise ValueError(f"a channel outside 1 to {channels}")
+            grid[rows["i"].to_numpy() - lo, rows["ch"].to_numpy() - 1] = np.clip(np.rint(rows["v"].fillna(0).to_numpy() / unit), -32768, 32767)
         return pd.DataFrame({"block": [int(key[0])], "content": [grid.tobytes()]})
 
-    return signal.groupBy(F.floor(F.col("i") / block).alias("block")).applyInPandas(run, "block long, content binary")
+    every = signal.sparkSession.range(count).withColumnRenamed("id", "block")
+    placed = signal.select(F.floor(F.col("i") / block).alias("block"), "ch", "i", "v")
+    return every.groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(run, "block long, content binary")
 
 
 def write_parts(parts: DataFrame, path: str, name: str, order: str) -> None:
@@ -218,7 +236,42 @@ def write_parts(parts: DataFrame, path: str, name: str, order: str) -> None:
     parts.select(name, order, "content").repartition(name).sortWithinPartitions(name, order).write.mode("overwrite").partitionBy(name).parquet(path)
 
 
-READERS = {"neuralynx": read_continuous, "neuronexus": read_interleaved, "openephys": read_interleaved, "array": read_arrays}
+def read_openephys(spark: SparkSession, path: str, keep: list[str] | None = None) -> DataFrame:
+    """``path, stream, fs, ch, name, kind, start, v``: streams of folders with a ``structure.oebin``, in blocks of each channel.
+
+    That file tells a stream's rate, channels and their bit volts (µV); ``kind`` is ``primary``, ``adc``, ``dac`` or ``other`` by the channel's name, and what a ``dac`` channel holds is cut to 0 to 1.
+    ``keep`` are the kinds to read. A last sample that isn't whole goes. A folder without streams is an error.
+    """
+    stream = "struct<folder_name: string, sample_rate: double, channels: array<struct<channel_name: string, bit_volts: double>>>"
+    reader = spark.read.schema(f"continuous array<{stream}>").option("multiLine", True).option("pathGlobFilter", "structure.oebin")
+    told = reader.option("recursiveFileLookup", "true").json(path)
+    told = told.select(F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("root"), F.explode("continuous").alias("c"))
+    told = told.select(F.concat_ws("/", "root", F.lit("continuous"), F.rtrim("c.folder_name", F.lit("/")), F.lit("continuous.dat")).alias("_path"), F.rtrim("c.folder_name", F.lit("/")).alias("stream"), F.col("c.sample_rate").alias("fs"), F.col("c.channels").alias("channels"))
+    if not told.take(1):
+        raise ValueError("no structure.oebin with streams")
+    kind = lambda c: F.when(c["channel_name"].rlike(r"^CH?\d"), "primary").when(c["channel_name"].rlike(r"^ADC\d"), "adc").when(c["channel_name"].rlike(r"^DAC\d"), "dac").otherwise("other")
+    told = told.select("_path", "stream", "fs", F.transform("channels", lambda c: F.struct(c["channel_name"].alias("name"), c["bit_volts"].alias("volts"), kind(c).alias("kind"))).alias("channels"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, of, fs, channels, content in zip(b.column("path").to_pylist(), b.column("stream").to_pylist(), b.column("fs").to_pylist(), b.column("channels").to_pylist(), b.column("content")):
+                flat = np.frombuffer(content.as_buffer(), np.uint8)
+                grid = flat[: len(flat) // (2 * len(channels)) * 2 * len(channels)].view("<i2").reshape(-1, len(channels))
+                wanted = [(k, c) for k, c in enumerate(channels) if keep is None or c["kind"] in keep]
+                for lo in range(0, len(grid) if wanted else 0, BLOCK):
+                    n = len(wanted)
+                    part = [grid[lo : lo + BLOCK, k].astype(np.float64) * c["volts"] for k, c in wanted]
+                    part = [np.clip(x, 0, 1) if c["kind"] == "dac" else x for x, (_, c) in zip(part, wanted)]
+                    cols = [pa.array([name] * n), pa.array([of] * n), pa.array([fs] * n, pa.float64()), pa.array([k + 1 for k, _ in wanted], pa.int32()), pa.array([c["name"] for _, c in wanted]), pa.array([c["kind"] for _, c in wanted]), pa.array([lo] * n, pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(part, pa.list_(pa.float64()))], ["path", "stream", "fs", "ch", "name", "kind", "start", "v"])
+
+    plain = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
+    files = _content(spark, path, "continuous.dat")
+    both = files.join(F.broadcast(told), plain(files.path) == plain(F.col("_path"))).select("path", "stream", "fs", "channels", "content")
+    return both.mapInArrow(run, "path string, stream string, fs double, ch int, name string, kind string, start long, v array<double>")
+
+
+READERS = {"neuralynx": read_continuous, "neuronexus": read_interleaved, "openephys": read_openephys, "array": read_arrays}
 
 
 def read_recording(spark: SparkSession, path: str, **options: object) -> DataFrame:

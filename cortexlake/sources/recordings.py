@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Layouts of the records.
@@ -62,23 +62,36 @@ def read_events(spark: SparkSession, path: str, pattern: str = "*.nev") -> DataF
 
 
 def to_samples(records: DataFrame, drop_partial: bool = False) -> DataFrame:
-    """``path, ch, i, mv``: valid samples in millivolts, counted from 0 over whole records; with ``drop_partial`` records that aren't full go."""
+    """``path, ch, i, mv``: valid samples in millivolts, one after the other through the records of a file; with ``drop_partial`` records that aren't full go.
+
+    A record's first place is what the records before it hold. Whole records alone are counted by their number, so that only
+    the records that aren't full, few as a rule, are summed up in order.
+    """
     r = records.filter(F.col("n_valid") == SAMPLES) if drop_partial else records
-    each = r.select("path", "ch", "rec_no", "bit_volts", F.posexplode(F.slice("samples", 1, F.col("n_valid").cast("int"))).alias("k", "x"))
-    return each.select("path", "ch", (F.col("rec_no") * SAMPLES + F.col("k")).alias("i"), (F.col("x") * F.col("bit_volts") * 1000).alias("mv"))
+    lack = records.filter(F.col("n_valid") < SAMPLES)
+    order = Window.partitionBy("path", "ch").orderBy("rec_no")
+    short = lack.select("path", "ch", F.col("rec_no").alias("_from"), F.sum((F.lit(0) if drop_partial else F.col("n_valid")) - SAMPLES).over(order).alias("_shift"), F.lead("rec_no").over(order).alias("_to"))
+    steps = short.groupBy("path", "ch").agg(F.sort_array(F.collect_list(F.struct("_from", "_shift"))).alias("_steps"))
+    before = F.element_at(F.filter("_steps", lambda s: s["_from"] < F.col("rec_no")), -1)["_shift"]
+    placed = r.join(steps, ["path", "ch"], "left").withColumn("_first", F.col("rec_no") * SAMPLES + F.when(F.exists("_steps", lambda s: s["_from"] < F.col("rec_no")), before).otherwise(0))
+    each = placed.select("path", "ch", "_first", "bit_volts", F.posexplode(F.slice("samples", 1, F.col("n_valid").cast("int"))).alias("k", "x"))
+    return each.select("path", "ch", (F.col("_first") + F.col("k")).alias("i"), (F.col("x") * F.col("bit_volts") * 1000).alias("mv"))
 
 
 def continuous_files(signal: DataFrame, fs: int, bit_volts: float, start_us: int = 0, header: str = "") -> DataFrame:
     """``ch, part, content``: the bytes of a file for each channel of ``ch, i, mv``, in parts of 4096 records to be joined in order; part 0 begins with the header.
 
-    Values are rounded and clipped to 16 bits, a last record is filled up with zeros, and time stamps are even.
+    Values are rounded and clipped to 16 bits, missing samples are 0 and keep their place, a last record is filled up with zeros, and time
+    stamps are even. A part without samples is left out.
     """
     size = 4096 * SAMPLES
+    last = {int(r.ch): int(r.i) // size for r in signal.groupBy("ch").agg(F.max("i").alias("i")).collect()}
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ch, part = int(key[0]), int(key[1])
-        rows = rows.sort_values("i")
-        v = np.clip(np.rint(rows["mv"].to_numpy() / 1000 / bit_volts), -32768, 32767).astype("<i2")
+        at = rows["i"].to_numpy() - part * size
+        v = np.zeros(int(at.max()) + 1 if part == last.get(ch) else size, "<i2")
+        v[at] = np.clip(np.rint(rows["mv"].to_numpy() / 1000 / bit_volts), -32768, 32767)
         n = -(-len(v) // SAMPLES)
         r = np.zeros(n, CONTINUOUS)
         r["ts"] = start_us + np.rint((part * size + np.arange(n) * SAMPLES) * 1e6 / fs).astype(np.uint64)

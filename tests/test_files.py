@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cortexlake.sources import files as fl
-from cortexlake.sources.recordings import HEADER, continuous_files, read_continuous
+from cortexlake.sources.recordings import HEADER, continuous_files, read_continuous, to_samples
 
 
 def test_interleaved_samples_and_format(spark, tmp_path):
@@ -55,14 +55,17 @@ def test_fields_and_modes_of_continuous_records(spark, tmp_path):
 def test_workbook_with_several_sheets(spark, tmp_path):
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="One"/><sheet name="Two"/></sheets></workbook>')
+        r = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+        z.writestr("xl/workbook.xml", f'<workbook {ns} {r}><sheets><sheet name="Zeta" r:id="r7"/><sheet name="Charts" r:id="r8"/><sheet name="Alpha" r:id="r9"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r9" Target="worksheets/sheet1.xml"/><Relationship Id="r8" Target="chartsheets/sheet1.xml"/><Relationship Id="r7" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Name</t></si><si><r><t>Re</t></r><r><t>gion</t></r></si></sst>")
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row><c r="A2" t="inlineStr"><is><t>m1</t></is></c><c r="B2"><v>3.5</v></c></row><row><c r="B3"><v>4</v></c></row></sheetData></worksheet>')
-        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row><c r="A2" t="inlineStr"><is><t>m1</t></is></c><c r="B2"><v>3.5</v></c></row><row><c r="B3"><v>4</v></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c></row><row><c r="A2"><v>7</v></c></row></sheetData></worksheet>')
     cells = fl.read_workbook(spark, str(tmp_path))
-    for name in ("One", "Absent"):
+    for name in ("Zeta", "Absent"):
         rows = fl.sheet(cells, name, ["Name", "Region"]).orderBy("row").collect()
         assert [(r.Name, r.Region) for r in rows] == [("m1", "3.5"), (None, "4")]
+    assert [(r.position, r.value) for r in cells.filter("sheet = 'Alpha'").collect()] == [(2, "7")]
 
 
 def test_probe_settings_cards_and_logs(spark, tmp_path):
@@ -93,3 +96,48 @@ def test_written_signals_and_sorter_bytes(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "g")).count() == 9
     fl.write_parts(fl.sorter_blocks(signal, 3, block=64).withColumn("file", F.lit("a")), str(tmp_path / "b"), "file", "block")
     assert spark.read.parquet(str(tmp_path / "b")).count() == 2
+
+
+def test_sorter_bytes_keep_every_sample_in_its_place(spark):
+    signal = spark.range(500).select(F.lit(1).alias("ch"), F.col("id").alias("i"), (F.col("id") * 0.195).alias("v"))
+    for gone in ("i between 60 and 63", "i between 64 and 200", "i > 450"):
+        parts = fl.sorter_blocks(signal.filter(f"not ({gone})"), 1, block=64).orderBy("block").collect()
+        want = np.arange(500)
+        a, b = {"i between 60 and 63": (60, 64), "i between 64 and 200": (64, 201), "i > 450": (451, 500)}[gone]
+        want[a:b] = 0
+        assert (np.frombuffer(b"".join(p.content for p in parts), "<i2") == (want[:451] if b == 500 else want)).all()
+    with pytest.raises(Exception, match="outside 1 to 1"):
+        fl.sorter_blocks(signal.withColumn("ch", F.lit(2)), 1).collect()
+    assert fl.sorter_blocks(signal.filter("false"), 1).count() == 0
+
+
+def test_streams_of_a_folder_by_its_structure(spark, tmp_path):
+    x = np.random.default_rng(3).integers(-2000, 2000, (900, 3)).astype("<i2")
+    (tmp_path / "continuous/probe.0").mkdir(parents=True)
+    (tmp_path / "continuous/probe.0/continuous.dat").write_bytes(x.tobytes() + b"\1")
+    channels = [{"channel_name": n, "bit_volts": v, "units": "uV"} for n, v in (("CH1", 0.195), ("CH2", 0.195), ("ADC1", 1.5))]
+    (tmp_path / "structure.oebin").write_text(json.dumps({"GUI version": "0.6", "continuous": [{"folder_name": "probe.0/", "sample_rate": 30000, "num_channels": 3, "channels": channels}]}, indent=1))
+    got = fl.read_recording(spark, str(tmp_path)).orderBy("ch").collect()
+    assert [(r.stream, r.fs, r.ch, r.name, r.kind, r.start) for r in got] == [("probe.0", 30000.0, 1, "CH1", "primary", 0), ("probe.0", 30000.0, 2, "CH2", "primary", 0), ("probe.0", 30000.0, 3, "ADC1", "adc", 0)]
+    assert np.allclose([r.v for r in got], (x * [0.195, 0.195, 1.5]).T)
+    assert [r.ch for r in fl.read_recording(spark, str(tmp_path), keep=["adc"]).collect()] == [3]
+    (tmp_path / "structure.oebin").unlink()
+    with pytest.raises(ValueError):
+        fl.read_recording(spark, str(tmp_path)).collect()
+
+
+def test_records_that_are_not_full_and_missing_samples(spark, tmp_path):
+    signal = spark.range(2000).filter("id not between 700 and 720").select(F.lit(4).cast("long").alias("ch"), F.col("id").alias("i"), (F.col("id") % 900 * 0.01).alias("mv"))
+    (content,) = [r.content for r in continuous_files(signal, 1000, 1e-6).collect()]
+    (tmp_path / "c.ncs").write_bytes(bytes(content))
+    rec = read_continuous(spark, str(tmp_path))
+    back = to_samples(rec).orderBy("i").toPandas()
+    want = np.arange(2000) % 900 * 0.01
+    want[700:721] = 0
+    assert back["i"].tolist() == list(range(2000)) and np.abs(back["mv"] - want).max() < 1e-6
+    cut = rec.withColumn("n_valid", F.when(F.col("rec_no") == 1, 100).when(F.col("rec_no") == 2, 10).otherwise(F.col("n_valid")))
+    kept = np.concatenate([want[:612], want[1024:1034], want[1536:]])
+    out = to_samples(cut).orderBy("i").toPandas()
+    assert out["i"].tolist() == list(range(len(kept))) and np.abs(out["mv"] - kept).max() < 1e-6
+    whole = to_samples(cut, drop_partial=True).orderBy("i").toPandas()
+    assert whole["i"].tolist() == list(range(512)) and np.abs(whole["mv"] - want[:512]).max() < 1e-6
