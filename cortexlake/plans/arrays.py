@@ -10,8 +10,8 @@ from cortexlake.operators import events as ev
 from cortexlake.operators import signals as sg
 from cortexlake.operators import spectral as sp
 from cortexlake.operators import stats as st
-from cortexlake.operators.clusters import pca_clusters
-from cortexlake.operators.sources_density import forward_matrix, inverse_source_density
+from cortexlake.operators.clusters import dbscan, pca_clusters
+from cortexlake.operators.sources_density import density_matrix, inverse_source_density
 from cortexlake.operators.templates import ABOVE, BELOW, golden_template
 from cortexlake.operators.templates import REGIONS as REGION_ORDER
 from cortexlake.plans.registry import S, query
@@ -274,10 +274,10 @@ def _(t):
     return inverse_source_density(t.signal, ["i"], 64, "standard").select("i", "ch", F.round("csd", 2).alias("csd"))
 
 
-def inverse_sql(method: str) -> str:
-    """The inverse matrix's entries as a table, joined and summed."""
-    m = np.linalg.inv(forward_matrix(64, method))
-    entries = ", ".join(f"({a + 1}, {b + 1}, {float(m[a, b])!r}::DOUBLE)" for a in range(64) for b in range(64))
+def inverse_sql(method: str, **options: object) -> str:
+    """The matrix's entries as a table, joined and summed."""
+    m = density_matrix(64, method, **options)
+    entries = ", ".join(f"({a + 1}, {b + 1}, {float(m[a, b])!r}::DOUBLE)" for a, b in zip(*np.nonzero(m)))
     return f"SELECT s.i, CAST(m.o AS INT) AS ch, round(sum(m.f * s.v) / 1e6, 6) AS csd FROM {S} s JOIN (VALUES {entries}) m(o, ch, f) ON m.ch = s.ch GROUP BY s.i, m.o"
 
 
@@ -291,6 +291,21 @@ def _(t):
     return inverse_source_density(t.signal, ["i"], 64, "step").select("i", "ch", F.round(F.col("csd") / 1e6, 6).alias("csd"))
 
 
+@query("D32_spline_source_density", inverse_sql("spline", steps=40))
+def _(t):
+    return inverse_source_density(t.signal, ["i"], 64, "spline", steps=40).select("i", "ch", F.round(F.col("csd") / 1e6, 6).alias("csd"))
+
+
+@query("D32_smoothed_source_density", inverse_sql("delta", smooth=("gaussian", 5, 1.0)))
+def _(t):
+    return inverse_source_density(t.signal, ["i"], 64, "delta", ("gaussian", 5, 1.0)).select("i", "ch", F.round(F.col("csd") / 1e6, 6).alias("csd"))
+
+
+@query("D32_doubled_ends", f"""SELECT i, ch, round(-0.3 / 0.00005 * (coalesce(lag(v) OVER w, v) - 2 * v + coalesce(lead(v) OVER w, v)) / 1e6, 6) AS csd FROM {S} WINDOW w AS (PARTITION BY i ORDER BY ch)""")
+def _(t):
+    return inverse_source_density(t.signal, ["i"], 64, "standard", doubled_ends=True).select("i", "ch", F.round(F.col("csd") / 1e6, 6).alias("csd"))
+
+
 @query("D09_band_pass")
 def _(t):
     return sp.band_passed(t.signal, 1000, 25, 55)
@@ -341,6 +356,17 @@ def _(t):
     return pca_clusters(t.embeddings, "vec_id", "embedding")
 
 
+@query("D49_density_clusters", """WITH RECURSIVE p AS MATERIALIZED (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+    n AS MATERIALIZED (SELECT a.id, b.id AS other FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.03::DOUBLE * 0.03::DOUBLE),
+    c AS MATERIALIZED (SELECT id FROM n GROUP BY id HAVING count(*) >= 5), e AS MATERIALIZED (SELECT n.id, n.other FROM n JOIN c ON c.id = n.id JOIN c d ON d.id = n.other),
+    r AS (SELECT id, other FROM e UNION SELECT r.id, e.other FROM r JOIN e ON e.id = r.other), k AS MATERIALIZED (SELECT id, min(other) AS cluster FROM r GROUP BY id)
+    SELECT p.id, coalesce(any_value(k.cluster), min(o.cluster)) AS cluster, any_value(k.cluster) IS NOT NULL AS core FROM p LEFT JOIN k ON k.id = p.id JOIN n ON n.id = p.id LEFT JOIN k o ON o.id = n.other GROUP BY p.id""")
+def _(t):
+    """Clusters by density in the plane of the first two components; points of none have no cluster."""
+    e = t.embeddings
+    return dbscan(e.select(F.col("vec_id").alias("id"), F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y")), 0.03, 5)
+
+
 _ROWS = f"(SELECT DISTINCT label AS session, ch AS row, list_extract([{', '.join(repr(r) for r in REGION_ORDER)}], CAST(floor((ch + label % 5 - 4) / 7.0) AS INT) + 1) AS region FROM {S} WHERE ch BETWEEN 1 + label % 3 AND 64)"
 _NAMES = ", ".join(f"({k}, '{r}')" for k, r in enumerate((ABOVE, *REGION_ORDER, BELOW)))
 
