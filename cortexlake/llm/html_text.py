@@ -43,7 +43,8 @@ BAD_WORDS = frozenset(w for names in (P.AD_NAMES, P.MENU_NAMES, P.SIDE_NAMES, P.
 GOOD_WORDS = frozenset(w for n in P.MAIN_NAMES for w in n.split("-")) | {"articlebody", "blog", "hentry"}
 
 PART = re.compile(
-    r"<!--.*?(?:-->|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<title\b[^>]*>(?:.*?</title\s*>|[^<]*)"
     r"|<(script|style|noscript|template|svg|iframe|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">]++)*+)>"""
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"

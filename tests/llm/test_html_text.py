@@ -101,3 +101,10 @@ def test_odd_rows_and_nothing(spark):
     got = H.main_text(df).collect()
     assert len(got) == len(rows) and [r.text for r in got[:4]] == [""] * 4
     assert H.main_text(df.filter("false")).count() == 0
+
+
+def test_comments_that_end_themselves_and_titles_anywhere():
+    text = lambda source: [x for _, x in H.Tree(source).blocks]
+    assert text("<p>a</p><!--><p>b</p><!---><p>c</p><!-- x --!><p>d</p><!-- y -- > z --><p>e</p>") == ["a", "b", "c", "d", "e"]
+    assert text("<body><title>Not < text</title><p>one</p><TITLE lang=en>nor this</TITLE ><p>two</p><title>open<p>three</p>") == ["one", "two", "three"]
+    assert text("<!-- never ended <p>a</p>") == [] and text("<p>a<!--x") == ["a"]

@@ -1,6 +1,6 @@
 import duckdb
 
-from cortexlake.llm.licenses import RULES, SENTENCES, license_scan, oracle
+from cortexlake.llm.licenses import NAMES, REFERENCES, RULES, SENTENCES, license_scan, oracle
 
 from tests.llm.helpers import DATA, documents, none_of, odd_documents
 
@@ -14,7 +14,7 @@ def test_equals_sql(spark):
 
 
 def test_every_rule_matches_its_sentences_in_order(spark):
-    text = {v: k for k, v in SENTENCES.items()}
+    text = {v: k for k, v in (REFERENCES | SENTENCES).items()}
     rows = [(i, "Words before.\n" + ". ".join(text[x].capitalize() for x in rule) + ".", name) for i, (name, rule) in enumerate(RULES)]
     back = [(len(rows), ". ".join(text[x] for x in ("bsd-binary", "bsd-source", "bsd-grant")), "")]
     got = {r.doc_id: r.licenses for r in license_scan(spark.createDataFrame(rows + back, "doc_id long, text string, licenses string")).collect()}
@@ -119,3 +119,29 @@ means.""",
     }
     df = spark.createDataFrame([(k, v) for k, v in enumerate(texts.values())], "doc_id long, text string")
     assert [r.licenses for r in license_scan(df).orderBy("doc_id").collect()] == list(texts)
+
+
+NAMES_CLAUSE = """3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+
+
+def test_notices_side_by_side_and_sentences_inside_a_notice(spark):
+    texts = {
+        BSD + "\n\nAnother part:\n\n" + BSD + NAMES_CLAUSE: "BSD-2-Clause,BSD-3-Clause",
+        BSD + NAMES_CLAUSE: "BSD-3-Clause",
+        BSD + NAMES_CLAUSE + "\n\n" + BSD: "BSD-2-Clause,BSD-3-Clause",
+        "MIT License\n\nCopyright 2020 A. Author.\nAll rights reserved.\n\n" + MIT.split("Author\n\n")[1]: "All-Rights-Reserved,MIT",
+        MIT.replace("following conditions:\n", "following conditions:\n\nAll rights reserved.\n"): "All-Rights-Reserved,MIT",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.licenses for r in license_scan(df).orderBy("doc_id").collect()] == list(texts.values())
+
+
+def test_named_licenses_and_tags_as_written(spark):
+    rows = [(k, f"// SPDX-License-Identifier: {name}\nint x;", name) for k, name in enumerate(NAMES)]
+    said = [("This file is licensed under the Eclipse Public License v2.0.", "EPL-2.0"), ("Released under the Mozilla Public License, Version 2.0.\n", "MPL-2.0"), ("# Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"), ("It is licensed under the MIT licence", ""), ("Distributed under\n * the Zlib License.", "Zlib"), ("Available under the Unlicense; see there.", "Unlicense")]
+    rows += [(1000 + k, *x) for k, x in enumerate(said)]
+    got = {r.doc_id: r.licenses for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string, licenses string")).collect()}
+    assert len(NAMES) >= 60 and got == {i: name for i, _, name in rows}
