@@ -7,7 +7,7 @@ stand in a signature tree, whose dual traversal leaves few pairs to be intersect
 
 Each set's largest group comes first. Those connect most copies, and the other groups count only if they still hold different components.
 A large group is cut into blocks. First each block is joined alone, which connects a crowd of copies; then blocks are cut
-anew by component, and two blocks meet only if they hold different components. Groups move signatures; texts follow only for sets that may still link. A shingle that very many sets have is dealt out by
+anew by component, and two blocks meet only if they hold different components. Groups move signatures; texts follow only for sets that may still link, once for groups that hang together. A shingle that very many sets have is dealt out by
 the set's number. Everything moved is a row for a set in a group or a list of ids; nothing stands in a row for each pair.
 """
 
@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cortexlake.llm.bytetext import mix
@@ -273,10 +273,12 @@ class Source:
         bits = np.packbits(marks)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                at = b.column("place").to_numpy()
-                b = b.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
-                yield pa.RecordBatch.from_arrays([b.column("k"), b.column("of"), *make(b.column("text"))], ["k", "of", *names])
+            for whole in batches:
+                at = whole.column("place").to_numpy()
+                asked = whole.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+                for lo in range(0, len(asked), 500):
+                    b = asked.slice(lo, 500)
+                    yield pa.RecordBatch.from_arrays([b.column("k"), b.column("of"), *make(b.column("text"))], ["k", "of", *names])
 
         found = self.rows.select("k", "of", "text", place.alias("place")).mapInArrow(run, f"k long, of struct<doc_id: long, text_hash: long>, {shape}").join(needed, "k")
         same = F.col("of.doc_id").eqNullSafe(F.col("key.doc_id")) & (F.col("of.text_hash") == F.col("key.text_hash"))
@@ -333,11 +335,25 @@ def _hopeful(percent: int, at_once: int = 4096):
                 apart = root[x] != root[y]
                 some = np.zeros(len(b), bool)
                 some[x[apart]] = some[y[apart]] = True
-                yield b.select(["g", "side", "id", "root"]).filter(pa.array(some))
+                yield b.select(["g", "side", "id", "root", "size"]).filter(pa.array(some))
 
     return run
 
 
+def _gathered(hopeful: DataFrame) -> DataFrame:
+    """The same sets in fewer groups: those that groups connect are one group, so that a text moves once, unless that were a large one."""
+    order = Window.partitionBy("g").orderBy("id")
+    links = hopeful.select("id", F.lead("id").over(order).alias("b"), "g").filter("id < b").select(F.col("id").alias("a"), "b").distinct()
+    parts = components(written(links, "hopeful-links"))
+    if parts is None:
+        return hopeful.select("g", "side", "id", "root")
+    named = written(hopeful.join(parts.select(F.col("node").alias("id"), F.col("root").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id")), "hopeful-parts")
+    sets = named.groupBy("part", "id").agg(F.first("root").alias("root"), F.first("size").alias("size"))
+    small = sets.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")).filter((F.col("n") <= BLOCK) & (F.col("weight") <= 4 * WEIGHT)).select("part")
+    one = sets.join(small, "part", "left_semi").select((-1 - F.col("part")).alias("g"), F.lit(0).alias("side"), "id", "root")
+    return one.unionByName(named.join(small, "part", "left_anti").select("g", "side", "id", "root"))
+
+
 def _decided(groups: DataFrame, source: Source | PackedTexts, signed: DataFrame, labels: DataFrame | None, words: int, percent: int) -> DataFrame | None:
     """Labels after the sets of each group (``g, side, ids``) have been joined; pairs of one component aren't looked at again."""
     rows = groups.select("g", "side", F.explode("ids").alias("id"))
@@ -348,7 +364,8 @@ def _decided(groups: DataFrame, source: Source | PackedTexts, signed: DataFrame,
         mixed = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g")
         rows = rooted.join(mixed, "g", "left_semi")
     whole = lambda df, run, shape: df.repartition("g").sortWithinPartitions("g").mapInArrow(run, shape)
-    hopeful = written(whole(rows.join(signed, "id").select("g", "side", "id", "root", "size", "head", "signature"), _hopeful(percent), "g long, side int, id long, root long"), "hopeful-sets")
+    hopeful = written(whole(rows.join(signed, "id").select("g", "side", "id", "root", "size", "head", "signature"), _hopeful(percent), "g long, side int, id long, root long, size long"), "hopeful-sets")
+    hopeful = _gathered(hopeful)
     texts = source.of(hopeful.select("id").distinct(), _PACKED)
     links = written(whole(hopeful.join(texts, "id").select("g", "side", "id", "root", "packed"), _confirm(words, percent), "a long, b long"), "links")
     return components(links.distinct() if labels is None else between(links, labels.select(F.col("node").alias("p_b"), F.col("root").alias("p_a"))), labels)
