@@ -33,32 +33,6 @@ def gap_to_next(df: DataFrame, keys: Sequence[str], t: str, tie: str, name: str
     return df.withColumn(name, F.coalesce(F.lead(t).over(_all_before(keys, [t, tie])) - F.col(t), F.lit(0)))
 
 
-def greedy_pairs(df: DataFrame, session: str, t: str, is_first: Column, is_second: Column, within: int) -> DataFrame:
-    """Pairs each first event with the earliest unused second event after it, at most ``within`` later; earlier first events choose first.
-
-    No pair spans a gap wider than ``within``, so each run of events without such a gap is folded on its own.
-    """
-    w = _all_before([session], [t])
-    marked = df.filter(is_first | is_second).select(F.col(session).alias("session"), F.col(t).alias("t"), is_first.alias("opens"), is_second.alias("closes"))
-    runs = with_island(marked, ["session"], "t", within, "opens")
-    events = F.array_sort(F.collect_list(F.struct("t", "opens", "closes")))
-    grouped = runs.groupBy("session", "island").agg(events.alias("events")).filter(F.exists("events", lambda e: e.opens) & F.exists("events", lambda e: e.closes))
-    empty = F.expr("named_struct('open', cast(array() as array<bigint>), 'pairs', cast(array() as array<struct<a:bigint,b:bigint>>))")
-
-    def step(state: Column, e: Column) -> Column:
-        live = F.filter(state.open, lambda a: a >= e.t - within)
-        earlier = F.filter(live, lambda a: a < e.t)
-        close = e.closes & (F.size(earlier) > 0)
-        first = F.element_at(earlier, 1)
-        rest = F.when(close, F.filter(live, lambda a: a != first)).otherwise(live)
-        still = F.when(e.opens, F.concat(rest, F.array(e.t))).otherwise(rest)
-        pairs = F.when(close, F.concat(state.pairs, F.array(F.struct(first.alias("a"), e.t.alias("b"))))).otherwise(state.pairs)
-        return F.struct(still.alias("open"), pairs.alias("pairs"))
-
-    folded = grouped.select("session", F.aggregate("events", empty, step).alias("x"))
-    return folded.select("session", F.explode("x.pairs").alias("p")).select("session", F.col("p.a").alias("first_us"), F.col("p.b").alias("second_us"))
-
-
 def merge_intervals(df: DataFrame, keys: Sequence[str], on: str, off: str, gap: int) -> DataFrame:
     """Merges an interval into the one before if it begins less than ``gap`` after that one's end; the last one's end closes the chain."""
     w = _all_before(keys, [on, off])

@@ -10,7 +10,8 @@ from cortexlake.operators import stats as st
 from cortexlake.operators.templates import REGIONS as REGION_ORDER
 from cortexlake.operators.templates import crop
 from cortexlake.plans.arrays import prctile_sql
-from cortexlake.plans.naming import text
+from cortexlake.operators.listings import directories, tree
+from cortexlake.plans.naming import padded, text
 from cortexlake.plans.registry import E, S, query
 
 
@@ -77,24 +78,27 @@ def _(t):
     return t.orders.select("o_orderkey", F.row_number().over(w).alias("place"))
 
 
-@query("O09_sorted_columns", f"SELECT ch, round(avg(v) FILTER (label = 0), 6) AS s0, round(avg(v) FILTER (label = 1), 6) AS s1, round(avg(v) FILTER (label = 2), 6) AS s2 FROM {S} GROUP BY ch")
+@query("O09_sorted_columns", "SELECT ch, " + ", ".join(f"round(avg(v) FILTER (label = {k}), 6) AS s{k}" for k in range(10)) + f" FROM {S} GROUP BY ch")
 def _(t):
-    wide = t.signal.groupBy("ch").pivot("label", [2, 0, 1]).agg(F.round(F.avg("v"), 6))
-    named = wide.select("ch", *(F.col(str(k)).alias(f"s{k}") for k in (2, 0, 1)))
+    """One column for each of the ten labels, in order of their names."""
+    wide = t.signal.groupBy("ch").pivot("label", [*range(9, -1, -1)]).agg(F.round(F.avg("v"), 6))
+    named = wide.select("ch", *(F.col(str(k)).alias(f"s{k}") for k in range(9, -1, -1)))
     return named.select("ch", *sorted(x for x in named.columns if x != "ch"))
 
 
-WIDE = "(SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS T_m1p00ms, CAST(embedding[2] AS DOUBLE) AS T_0p00ms, CAST(embedding[3] AS DOUBLE) AS T_2p50ms FROM embeddings)"
+#: A column for each component, named by its time from -16 to 15.5 ms.
+TIMES = ["T_" + f"{(k - 32) / 2:.2f}ms".replace("-", "m").replace(".", "p") for k in range(64)]
+WIDE = "(SELECT vec_id, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS {h}" for k, h in enumerate(TIMES)) + " FROM embeddings)"
 
 
-@query("U11_time_columns", f"SELECT vec_id, CAST(replace(replace(replace(replace(h, 'T_', ''), 'ms', ''), 'm', '-'), 'p', '.') AS DOUBLE) AS ms, v FROM (UNPIVOT {WIDE} ON T_m1p00ms, T_0p00ms, T_2p50ms INTO NAME h VALUE v)")
+@query("U11_time_columns", f"SELECT vec_id, CAST(replace(replace(replace(replace(h, 'T_', ''), 'ms', ''), 'm', '-'), 'p', '.') AS DOUBLE) AS ms, v FROM (UNPIVOT {WIDE} ON {', '.join(TIMES)} INTO NAME h VALUE v)")
 def _(t):
     """Columns named by a time become rows with that time."""
     x = F.col("embedding").cast("array<double>")
-    wide = t.embeddings.select("vec_id", *(F.get(x, k).alias(h) for k, h in enumerate(("T_m1p00ms", "T_0p00ms", "T_2p50ms"))))
+    wide = t.embeddings.select("vec_id", *(F.get(x, k).alias(h) for k, h in enumerate(TIMES)))
     long = wide.unpivot("vec_id", [c for c in wide.columns if c.startswith("T_")], "h", "v")
     number = F.translate(F.regexp_replace("h", "^T_|ms$", ""), "mp", "-.")
-    return long.select("vec_id", number.cast("double").alias("ms"), "v")
+    return long.select("vec_id", number.cast("double").alias("ms"), "v").filter("v is not null")
 
 
 @query("U14_tree_surgery", "SELECT page_id, '/site/' || host || '/' || page_id || '/data' AS path FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'a' ELSE 'b' END AS host FROM pages WHERE page_id % 4 > 0)")
@@ -205,24 +209,31 @@ def _(t):
     return t.nation.groupBy("n_regionkey").agg(quoted.alias("x")).select("n_regionkey", F.concat(F.lit('dirs=( "'), F.concat_ws('" "', "x"), F.lit('" )')).alias("line"))
 
 
-@query("K12_renamed_results", "SELECT page_id, url AS old, 'Result_' || lpad(CAST(page_id AS VARCHAR), 5, '0') || '.pdf' AS new FROM pages")
+@query("K12_renamed_results", "SELECT page_id, url AS old, 'Result_' || repeat('0', greatest(5 - length(CAST(page_id AS VARCHAR)), 0)) || CAST(page_id AS VARCHAR) || '.pdf' AS new FROM pages")
 def _(t):
-    return t.pages.select("page_id", F.col("url").alias("old"), F.concat(F.lit("Result_"), F.lpad(F.col("page_id").cast("string"), 5, "0"), F.lit(".pdf")).alias("new"))
+    return t.pages.select("page_id", F.col("url").alias("old"), F.concat(F.lit("Result_"), padded(F.col("page_id"), 5), F.lit(".pdf")).alias("new"))
 
 
-@query("S29_directories_by_name", "SELECT DISTINCT c_mktsegment AS dir, 2 AS depth FROM customer WHERE regexp_matches(c_mktsegment, '^[A-M]')")
+#: Every address as a path: the host's parts from the last one, then the rest.
+PARTS_SQL = "list_concat(list_reverse(string_split(regexp_extract(url, '^[a-z]+://([^/?]+)', 1), '.')), list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?]+/?([^?]*)', 1), '/'), lambda x: x <> ''))"
+
+
+def _paths(t):
+    host, rest = (F.regexp_extract("url", p, 1) for p in ("^[a-z]+://([^/?]+)", "^[a-z]+://[^/?]+/?([^?]*)"))
+    return t.pages.select(F.concat_ws("/", F.reverse(F.split(host, "[.]")), rest).alias("path"))
+
+
+@query("S29_directories_by_name", f"SELECT DISTINCT array_to_string(p[1:k], '/') AS name, CAST(k AS INT) AS depth FROM (SELECT p, unnest(range(1, len(p))) AS k FROM (SELECT {PARTS_SQL} AS p FROM pages)) WHERE k <= 4 AND regexp_matches(p[k], '^(e|m|t)')")
 def _(t):
-    """Directories of a listing by name and depth: those on the way to a file, down to three levels."""
-    path = text("|root/|", "c_mktsegment", "|/|", "c_nationkey", "|/|", "c_custkey", "|.dat|")
-    parts = t.customer.select(F.split(path, "/").alias("p")).select(F.posexplode(F.slice("p", 1, F.size("p") - 1)).alias("k", "dir"))
-    return parts.filter((F.col("k") < 3) & F.col("dir").rlike("^[A-M]")).select("dir", (F.col("k") + 1).alias("depth")).distinct()
+    """Directories of a listing by name, down to four levels."""
+    return directories(_paths(t), "^(e|m|t)", 4)
 
 
-@query("S30_listing_tree", "SELECT c_mktsegment AS name, 'root' AS parent, count(*) AS n_below FROM customer GROUP BY 1 UNION ALL SELECT c_mktsegment || '/' || c_nationkey, c_mktsegment, count(*) FROM customer GROUP BY c_mktsegment, c_nationkey")
+@query("S30_listing_tree", f"""WITH RECURSIVE x AS MATERIALIZED (SELECT {PARTS_SQL} AS p FROM pages), r AS (SELECT p, 1 AS depth, p[1] AS name, NULL::VARCHAR AS parent FROM x WHERE len(p) > 0
+    UNION ALL SELECT p, depth + 1, name || '/' || p[depth + 1], name FROM r WHERE depth < len(p)) SELECT name, parent, depth, count(*) AS n_files FROM r GROUP BY name, parent, depth""")
 def _(t):
-    """Each node of a listing under its parent, with the number of files below."""
-    levels = F.array(F.struct(F.col("c_mktsegment").alias("name"), F.lit("root").alias("parent")), F.struct(text("c_mktsegment", "|/|", "c_nationkey").alias("name"), F.col("c_mktsegment").alias("parent")))
-    return t.customer.select(F.explode(levels).alias("x")).groupBy("x.name", "x.parent").agg(F.count(F.lit(1)).alias("n_below"))
+    """Each node of a listing under the one above it, with the number of files at or below it."""
+    return tree(_paths(t))
 
 
 @query("R03_random_snippets", f"SELECT w.label, s.i, round(avg(s.v), 6) AS mean FROM (SELECT label, CAST('0x' || substr(md5(CAST(label AS VARCHAR)), 1, 6) AS BIGINT) % (SELECT max(vec_id) - 19 FROM embeddings) AS start FROM (SELECT DISTINCT label FROM embeddings)) w JOIN {S} s ON s.i BETWEEN w.start AND w.start + 19 GROUP BY w.label, s.i")

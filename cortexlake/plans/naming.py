@@ -13,6 +13,12 @@ def text(*parts):
     return F.concat(*(F.lit(p[1:-1]) if p.startswith("|") else F.col(p).cast("string") for p in parts))
 
 
+def padded(number, width):
+    """A whole number with zeros before it up to ``width`` digits; a longer one stays whole."""
+    digits = number.cast("string")
+    return F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(width) - F.length(digits), F.lit(0))), digits)
+
+
 @query("X01_plain_ids", "SELECT c_custkey, lower(trim(' ' || c_mktsegment || '  ')) AS id FROM customer")
 def _(t):
     return t.customer.select("c_custkey", F.lower(F.trim(text("| |", "c_mktsegment", "|  |"))).alias("id"))

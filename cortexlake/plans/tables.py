@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cortexlake.operators import stats as st
+from cortexlake.plans.naming import padded
 from cortexlake.plans.registry import query
 
 FLAGS = ("A", "N", "R")
@@ -219,9 +220,9 @@ def _(t):
     return t.pages.select("page_id", F.try_element_at(p, F.lit(-1)).alias("last_part"), F.coalesce(F.try_element_at(p, F.lit(-2)), F.lit("Unknown")).alias("before_last"))
 
 
-@query("X18_padded_names", "SELECT c_custkey, 'Ch' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS name FROM customer")
+@query("X18_padded_names", "SELECT c_custkey, 'Ch' || repeat('0', greatest(2 - length(CAST(c_nationkey AS VARCHAR)), 0)) || CAST(c_nationkey AS VARCHAR) AS name FROM customer")
 def _(t):
-    return t.customer.select("c_custkey", F.concat(F.lit("Ch"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")).alias("name"))
+    return t.customer.select("c_custkey", F.concat(F.lit("Ch"), padded(F.col("c_nationkey"), 2)).alias("name"))
 
 
 @query("X21_two_roundings", "SELECT l_orderkey, l_linenumber, round(l_quantity / 2) AS away, round_even(l_quantity / 2, 0) AS even FROM lineitem")

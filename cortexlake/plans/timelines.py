@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cortexlake.operators import events as ev
+from cortexlake.operators.pairing import greedy_pairs
 from cortexlake.operators import stats
 from cortexlake.plans.registry import HOUR, E, Tables, query
 
@@ -47,9 +48,13 @@ def timeline(t):
     return ev.gap_to_next(debounced(t), ["session"], "start_us", "code").select("session", "code", "start_us", "repeats", "gap_us")
 
 
-@query("J08_greedy_pairs")
+@query("J08_greedy_pairs", f"""WITH RECURSIVE e AS MATERIALIZED (SELECT session, t, code = 'click' AS o, row_number() OVER (PARTITION BY session ORDER BY t, code = 'click') AS k FROM {E} WHERE code IN ('click', 'view')),
+    r AS (SELECT DISTINCT session, 0::BIGINT AS k, []::BIGINT[] AS waits, NULL::BIGINT AS a, NULL::BIGINT AS b FROM e UNION ALL
+      SELECT session, k, CASE WHEN o THEN list_append(live, t) WHEN live[1] < t THEN live[2:] ELSE live END, CASE WHEN NOT o AND live[1] < t THEN live[1] END, CASE WHEN NOT o AND live[1] < t THEN t END
+      FROM (SELECT e.session, e.k, e.t, e.o, list_filter(r.waits, lambda x: x >= e.t - {PAIR}) AS live FROM r JOIN e ON e.session = r.session AND e.k = r.k + 1))
+    SELECT session, a AS first_us, b AS second_us FROM r WHERE a IS NOT NULL""")
 def _(t):
-    return ev.greedy_pairs(t.timeline, "session", "t", F.col("code") == "click", F.col("code") == "view", PAIR)
+    return greedy_pairs(t.timeline, "session", "t", F.col("code") == "click", F.col("code") == "view", PAIR)
 
 
 @query("W07_sequences", f"""SELECT session, min(t) AS first_us, max(t) AS last_us, count(*) AS n FROM (
