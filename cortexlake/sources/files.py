@@ -1,7 +1,7 @@
 """Other files that laboratories keep: flat binary samples, arrays, record files, workbooks, probes, settings, cards.
 
-Files are found and read by Spark's sources, so any store that Spark reads will do. Binary files come as one row per file and are
-cut into blocks in the task that reads them; a file has to fit into that task.
+Files of fixed-size records are read in ranges of records, a task for each. Other binary files come as one row per file and are
+cut into blocks in the task that reads them; such a file has to fit into that task.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ from xml.etree import ElementTree
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cortexlake.functions import names as nm
+from cortexlake.sources.ranges import RANGE, read_ranges
 from cortexlake.sources.recordings import HEADER, read_continuous
 
 #: Samples of one channel in a row.
@@ -28,6 +30,7 @@ RECORDS = {
     "nse": np.dtype([("ts_us", "<u8"), ("channel", "<u4"), ("cell", "<u4"), ("features", "<u4", (8,)), ("samples", "<i2", (32,))]),
     "nvt": np.dtype([("skip", "<u2", (3,)), ("ts_us", "<u8"), ("points", "<u4", (400,)), ("crc", "<i2"), ("x", "<i4"), ("y", "<i4"), ("angle", "<i4"), ("targets", "<i4", (50,))]),
     "nts": np.dtype([("ts_us", "<u8")]),
+    "nev": np.dtype([("skip", "<i2", (3,)), ("ts_us", "<u8"), ("event_id", "<i2"), ("ttl", "<i2"), ("crc", "<i2"), ("dummy", "<i2", (2,)), ("extras", "<i4", (8,)), ("text", "S128")]),
 }
 FORMATS = (("neuralynx", r"\.(ncs|nev|nse|nvt)$"), ("neuronexus", r"\.xdat(\.json)?$"), ("openephys", r"(structure\.oebin|continuous\.dat)$"), ("nwb", r"\.nwb$"), ("array", r"\.(npy|mat)$"), ("table", r"\.(csv|xlsx|parquet)$"))
 
@@ -44,24 +47,24 @@ def file_formats(paths: DataFrame) -> DataFrame:
     return paths.select("path", kind.alias("format"))
 
 
-def read_interleaved(spark: SparkSession, path: str, channels: int, dtype: str = "<f4", pattern: str = "*.xdat", keep: list[int] | None = None, scale: float = 1.0) -> DataFrame:
+def read_interleaved(spark: SparkSession, path: str, channels: int, dtype: str = "<f4", pattern: str = "*.xdat", keep: list[int] | None = None, scale: float = 1.0, range_bytes: int = RANGE) -> DataFrame:
     """``path, ch, start, v``: samples of files that hold all channels of a sample one after the other, in blocks of each channel.
 
     ``keep`` are the channels to read (from 1), ``scale`` is a sample's unit (bit volts of integers). A last sample that isn't whole goes.
+    A file is read by a task for each ``range_bytes``.
     """
     wanted = [c - 1 for c in keep] if keep else list(range(channels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content")):
-                flat = np.frombuffer(content.as_buffer(), np.uint8)
-                flat = flat[: len(flat) // np.dtype(dtype).itemsize * np.dtype(dtype).itemsize].view(dtype)
-                grid = flat[: len(flat) // channels * channels].reshape(-1, channels)
+            for name, first, content in zip(b.column("path").to_pylist(), b.column("first").to_pylist(), b.column("content")):
+                grid = np.frombuffer(content.as_buffer(), dtype).reshape(-1, channels)
                 for lo in range(0, len(grid), BLOCK):
                     part = [grid[lo : lo + BLOCK, c].astype(np.float64) * scale for c in wanted]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(wanted)), pa.array([c + 1 for c in wanted], pa.int32()), pa.array([lo] * len(wanted), pa.int64()), pa.array(part, pa.list_(pa.float64()))], ["path", "ch", "start", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(wanted)), pa.array([c + 1 for c in wanted], pa.int32()), pa.array([first + lo] * len(wanted), pa.int64()), pa.array(part, pa.list_(pa.float64()))], ["path", "ch", "start", "v"])
 
-    return _content(spark, path, pattern).mapInArrow(run, "path string, ch int, start long, v array<double>")
+    rows = read_ranges(spark, path, pattern, channels * np.dtype(dtype).itemsize, size=range_bytes)
+    return rows.mapInArrow(run, "path string, ch int, start long, v array<double>")
 
 
 def read_arrays(spark: SparkSession, path: str, pattern: str = "*.npy") -> DataFrame:
@@ -84,21 +87,50 @@ def samples(blocks: DataFrame) -> DataFrame:
     return blocks.select("path", "ch", "start", F.posexplode("v").alias("k", "v")).select("path", "ch", (F.col("start") + F.col("k")).alias("i"), "v")
 
 
-def read_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Records of spike (``nse``), tracking (``nvt``) and time stamp (``nts``) files with the file each is from; skipped fields are left out."""
+def read_records(spark: SparkSession, path: str, kind: str, range_bytes: int = RANGE) -> DataFrame:
+    """Records of spike (``nse``), tracking (``nvt``), time stamp (``nts``) and event (``nev``) files with the file each is from; skipped fields are left out."""
     layout = RECORDS[kind]
-    fields = [f for f in layout.names if f not in ("skip", "crc")]
-    sql = ", ".join(f"{f} array<long>" if layout[f].shape else f"{f} long" for f in fields)
+    fields = [f for f in layout.names if f not in ("skip", "crc", "dummy")]
+    is_text = lambda f: layout[f].kind == "S"
+    sql = ", ".join(f"{f} string" if is_text(f) else f"{f} array<long>" if layout[f].shape else f"{f} long" for f in fields)
+
+    def column(x: np.ndarray) -> pa.Array:
+        if x.dtype.kind == "S":
+            return pa.array([t.split(b"\0")[0].decode("latin-1") for t in x.tolist()], pa.string())
+        return pa.array(list(x.astype(np.int64)), pa.list_(pa.int64())) if x.ndim > 1 else pa.array(x.astype(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content")):
-                raw = np.frombuffer(content.as_buffer(), np.uint8)[HEADER:]
-                r = raw[: len(raw) // layout.itemsize * layout.itemsize].view(layout)
-                cols = [pa.array(list(r[f].astype(np.int64)), pa.list_(pa.int64())) if layout[f].shape else pa.array(r[f].astype(np.int64)) for f in fields]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(r), pa.string()), *cols], ["path", *fields])
+                r = np.frombuffer(content.as_buffer(), layout)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(r), pa.string()), *(column(r[f]) for f in fields)], ["path", *fields])
+
+    return read_ranges(spark, path, f"*.{kind}", layout.itemsize, HEADER, range_bytes).mapInArrow(run, f"path string, {sql}")
 
-    return _content(spark, path, f"*.{kind}").mapInArrow(run, f"path string, {sql}")
+
+def record_files(records: DataFrame, kind: str, header: str = "", per_part: int = 1 << 16) -> DataFrame:
+    """``name, part, content``: the bytes of a file ``file.kind`` for each ``file`` of ``records``, records by time; part 0 begins with the header.
+
+    Fields that ``records`` lack are 0 or empty. Parts are about ``per_part`` records, ranges of time, so that no file is one task's until it is saved.
+    """
+    layout = RECORDS[kind]
+    given = [f for f in layout.names if f in records.columns]
+    head = f"{header}\n".encode("latin-1").ljust(HEADER, b"\0")[:HEADER]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k, p in enumerate(parts):
+            out = []
+            for name, rows in p.groupby("file", sort=False):
+                r = np.zeros(len(rows), layout)
+                for f in given:
+                    r[f] = [x.encode("latin-1") for x in rows[f]] if layout[f].kind == "S" else np.stack(rows[f].tolist()) if layout[f].shape else rows[f].to_numpy()
+                out.append((f"{name}.{kind}", TaskContext.get().partitionId() << 32 | k + 1, r.tobytes()))
+            yield pd.DataFrame(out, columns=["name", "part", "content"])
+
+    n = max(1, -(-records.count() // per_part))
+    body = records.select("file", *given).repartitionByRange(n, "file", "ts_us").sortWithinPartitions("file", "ts_us").mapInPandas(run, "name string, part long, content binary")
+    heads = records.select(F.concat("file", F.lit(f".{kind}")).alias("name")).distinct().select("name", F.lit(0).cast("long").alias("part"), F.lit(head).alias("content"))
+    return heads.unionByName(body)
 
 
 def extracted(records: DataFrame, fields: list[str], mode: str = "all", values: list[int] | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 """Binary recordings: continuous samples and event records with a text header of 16 KiB.
 
-Files are found and read by Spark's ``binaryFile`` source, so any store that Spark reads will do; a record becomes a row.
+Continuous files are read in ranges of records, a task for each; a record becomes a row.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cortexlake.sources.ranges import RANGE, read_ranges
+
 # Layouts of the records.
 HEADER = 16384
 SAMPLES = 512
@@ -26,26 +28,26 @@ def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 
 def _volts() -> F.Column:
-    header = F.decode(F.substring("content", 1, HEADER), "ISO-8859-1")
+    header = F.decode("head", "ISO-8859-1")
     return F.coalesce(F.regexp_extract(header, r"-ADBitVolts\s+([0-9.eE+-]+)", 1).try_cast("double"), F.lit(FALLBACK_VOLTS))
 
 
-def read_continuous(spark: SparkSession, path: str, pattern: str = "*.ncs") -> DataFrame:
-    """``path, rec_no, ts_us, ch, fs, n_valid, samples, bit_volts``; a last record that isn't whole is left out."""
+def read_continuous(spark: SparkSession, path: str, pattern: str = "*.ncs", range_bytes: int = RANGE) -> DataFrame:
+    """``path, rec_no, ts_us, ch, fs, n_valid, samples, bit_volts``, a task for each ``range_bytes`` of a file; a last record that isn't whole is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, volts, content in zip(b.column("path").to_pylist(), b.column("volts").to_pylist(), b.column("content")):
-                raw = np.frombuffer(content.as_buffer(), np.uint8)[HEADER:]
-                r = raw[: len(raw) // CONTINUOUS.itemsize * CONTINUOUS.itemsize].view(CONTINUOUS)
+            for name, first, volts, content in zip(b.column("path").to_pylist(), b.column("first").to_pylist(), b.column("volts").to_pylist(), b.column("content")):
+                r = np.frombuffer(content.as_buffer(), CONTINUOUS)
                 for lo in range(0, len(r), 4096):
                     x = r[lo : lo + 4096]
                     values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * SAMPLES), pa.array(np.ascontiguousarray(x["v"]).ravel()))
                     ints = [pa.array(x[k].astype(np.int64)) for k in ("ts", "ch", "fs", "n")]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(x)), pa.array(np.arange(lo, lo + len(x))), *ints, values, pa.array(np.full(len(x), volts))], ["path", "rec_no", "ts_us", "ch", "fs", "n_valid", "samples", "bit_volts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(x)), pa.array(first + np.arange(lo, lo + len(x))), *ints, values, pa.array(np.full(len(x), volts))], ["path", "rec_no", "ts_us", "ch", "fs", "n_valid", "samples", "bit_volts"])
 
     schema = "path string, rec_no long, ts_us long, ch long, fs long, n_valid long, samples array<short>, bit_volts double"
-    return _files(spark, path, pattern).select("path", _volts().alias("volts"), "content").mapInArrow(run, schema)
+    rows = read_ranges(spark, path, pattern, CONTINUOUS.itemsize, HEADER, range_bytes)
+    return rows.select("path", "first", _volts().alias("volts"), "content").mapInArrow(run, schema)
 
 
 def read_events(spark: SparkSession, path: str, pattern: str = "*.nev") -> DataFrame:
