@@ -74,8 +74,20 @@ def instantaneous_frequency(analytic_signal: np.ndarray, fs: float, low: float,
     return np.clip(np.concatenate([f[:1], f]), low, high)
 
 
-def morlet(x: np.ndarray, fs: float, hz: float, cycles: float = 6.0) -> np.ndarray:
-    """Magnitude of the analytic Morlet transform at ``hz``: a pure tone of that frequency gives its amplitude."""
-    f = np.fft.fftfreq(len(x), 1 / fs)
-    width = hz / cycles
-    return np.abs(np.fft.ifft(np.fft.fft(x) * np.where(f > 0, 2 * np.exp(-((f - hz) ** 2) / (2 * width**2)), 0)))
+def morse(x: np.ndarray, fs: float, hz: float, gamma: float = 3.0, product: float = 60.0) -> np.ndarray:
+    """Magnitude of the generalised Morse wavelet transform whose peak lies at ``hz``: a pure tone of that frequency gives its amplitude.
+
+    ``product`` is the time-bandwidth product, ``gamma`` the symmetry; the wavelet is (w / w0) ** b * exp((1 - (w / w0) ** gamma) * b / gamma) over positive
+    frequencies, twice as high as its peak, with b = product / gamma.
+    """
+    f = np.fft.fftfreq(len(x), 1 / fs) / hz
+    b = product / gamma
+    up = f > 0
+    shape = np.zeros(len(x))
+    shape[up] = 2 * np.exp(b * np.log(f[up]) + (1 - f[up] ** gamma) * b / gamma)
+    return np.abs(np.fft.ifft(np.fft.fft(x) * shape))
+
+
+def octaves(low: float, high: float, voices: int = 10) -> list[float]:
+    """Frequencies from ``high`` down to ``low``, ``voices`` to an octave."""
+    return [high * 2.0 ** (-k / voices) for k in range(int(np.floor(np.log2(high / low) * voices + 1e-9)) + 1)]

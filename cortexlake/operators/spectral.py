@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cortexlake.functions import dsp
@@ -134,14 +134,39 @@ def spectrogram(signal: DataFrame, fs: float, size: int, hop: int, block: int =
     return _each_block(signal, kernel, "ch int, start long, hz double, power double", block, size)
 
 
-def scalogram(signal: DataFrame, fs: float, frequencies: tuple[float, ...], block: int = BLOCK, overlap: int = OVERLAP) -> DataFrame:
-    """``ch, i, hz, log_power``: log10 magnitude of the Morlet transform at each frequency."""
+def scalogram(signal: DataFrame, fs: float, low: float, high: float, voices: int = 10, block: int = BLOCK) -> DataFrame:
+    """``ch, i, hz, log_power``: log10 magnitude of the Morse wavelet transform, ``voices`` frequencies to an octave from ``high`` down to ``low``.
+
+    Blocks overlap by eight periods of the lowest frequency, beyond which a wavelet has nothing left.
+    """
+    frequencies = dsp.octaves(low, high, voices)
+    overlap = int(np.ceil(8 * fs / frequencies[-1]))
 
     def kernel(ch, i, v, own):
-        parts = [pd.DataFrame({"ch": ch, "i": i[own], "hz": f, "log_power": np.log10(np.maximum(dsp.morlet(v, fs, f)[own], 1e-300))}) for f in frequencies if len(v)]
-        return pd.concat(parts) if parts else pd.DataFrame({"ch": [], "i": [], "hz": [], "log_power": []})
+        if not own.any():
+            return pd.DataFrame({"ch": [], "i": [], "hz": [], "log_power": []})
+        each = np.stack([np.log10(np.maximum(dsp.morse(v, fs, f)[own], 1e-300)) for f in frequencies])
+        n = int(own.sum())
+        return pd.DataFrame({"ch": ch, "i": np.tile(i[own], len(frequencies)), "hz": np.repeat(frequencies, n), "log_power": each.ravel()})
+
+    return _each_block(signal, kernel, "ch int, i long, hz double, log_power double", max(block, overlap), overlap)
+
+
+def on_common_grid(table: DataFrame, hop: int, step: float, time_step: int, hz_step: float) -> DataFrame:
+    """``ch, start, hz, power`` of a spectrogram at every ``time_step`` and ``hz_step``, bilinear between the four values around.
+
+    ``hop`` and ``step`` are the distances of the table's times and frequencies. Each value is sent to the places of the grid about it with
+    its weight, so the four meet in a sum; places without all that they need are left out.
+    """
+
+    def about(x: Column, wide: float, grid: float) -> Column:
+        first, last = F.ceil((x - wide) / grid + 1e-9), F.floor((x + wide) / grid - 1e-9)
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
 
-    return _each_block(signal, kernel, "ch int, i long, hz double, log_power double", block, overlap)
+    placed = table.withColumn("a", F.explode(about(F.col("start"), hop, time_step))).withColumn("b", F.explode(about(F.col("hz"), step, hz_step)))
+    weight = (1 - F.abs(F.col("a") * time_step - F.col("start")) / hop) * (1 - F.abs(F.col("b") * hz_step - F.col("hz")) / step)
+    found = placed.withColumn("w", weight).groupBy("ch", "a", "b").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("power")).alias("power")).filter(F.col("w") > 1 - 1e-6)
+    return found.select("ch", (F.col("a") * time_step).alias("start"), (F.col("b") * hz_step).alias("hz"), "power")
 
 
 def band_properties(psd: DataFrame, bands: dict[str, tuple[float, float]]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cortexlake.operators import detectors as dt
 from cortexlake.operators import spectral as sp
-from cortexlake.plans.registry import query
+from cortexlake.plans.registry import S, query
 
 # Bands in Hz.
 BANDS = {"theta": (6.0, 10.0), "slow_gamma": (25.0, 55.0), "fast_gamma": (60.0, 100.0), "ripple": (120.0, 180.0)}
@@ -83,14 +83,29 @@ def _(t):
     return line_length_events(t.signal.select("ch", "i", (-F.col("v")).alias("v")), 1000, 5, 99.5, 10, 2)
 
 
-@query("D38_spectrogram")
+#: Densities of all windows of 64 samples that begin at a multiple of 16, by a sum over a table of cosines and sines.
+SPECTROGRAM = f"""(WITH x AS (SELECT ch, start, i - start AS k, v FROM (SELECT ch, i, v, unnest(generate_series(greatest(i // 16 - 3, 0), i // 16)) * 16 AS start FROM {S})), m AS (SELECT ch, start, avg(v) AS mean FROM x GROUP BY ch, start HAVING count(*) = 64),
+    y AS (SELECT x.ch, x.start, x.k, (x.v - m.mean) * (0.5 - 0.5 * cos(2 * pi() * x.k / 64)) AS v FROM x JOIN m USING (ch, start)),
+    f AS (SELECT y.ch, y.start, f.f, sum(y.v * cos(2 * pi() * f.f * y.k / 64)) AS re, sum(y.v * sin(2 * pi() * f.f * y.k / 64)) AS im FROM y CROSS JOIN (SELECT unnest(generate_series(0, 32)) AS f) f GROUP BY y.ch, y.start, f.f)
+    SELECT ch, start, f * 1000 / 64.0 AS hz, (re * re + im * im) * CASE WHEN f IN (0, 32) THEN 1 ELSE 2 END / (1000 * 24.0) AS power FROM f)"""
+
+
+@query("D38_spectrogram", f"SELECT CAST(ch AS INT) AS ch, start, hz, round(power, 9) AS power FROM {SPECTROGRAM}")
+def _(t):
+    return sp.spectrogram(t.signal, 1000, 64, 16).withColumn("power", F.round("power", 9))
+
+
+@query("D38_common_grid", f"""WITH s AS MATERIALIZED (SELECT ch, start // 16 AS a, CAST(hz / 15.625 AS INT) AS b, power FROM {SPECTROGRAM}), e AS (SELECT max(a) AS n FROM s),
+    g AS (SELECT t * 10 AS start, f * 20.0 AS hz, t * 10 / 16.0 AS x, f * 20 / 15.625 AS y FROM (SELECT unnest(generate_series(0, n * 16 // 10)) AS t FROM e) CROSS JOIN (SELECT unnest(generate_series(0, 25)) AS f))
+    SELECT CAST(s.ch AS INT) AS ch, g.start, g.hz, round(sum(s.power * (1 - abs(s.a - x)) * (1 - abs(s.b - y))), 9) AS power FROM g JOIN s ON s.a IN (CAST(floor(x) AS INT), CAST(ceil(x) AS INT)) AND s.b IN (CAST(floor(y) AS INT), CAST(ceil(y) AS INT)) GROUP BY s.ch, g.start, g.hz""")
 def _(t):
-    return sp.spectrogram(t.signal, 1000, 64, 16)
+    """The spectrogram at every 10 samples and 20 Hz."""
+    return sp.on_common_grid(sp.spectrogram(t.signal, 1000, 64, 16), 16, 15.625, 10, 20.0).withColumn("power", F.round("power", 9))
 
 
 @query("D39_scalogram")
 def _(t):
-    return sp.scalogram(t.signal, 1000, (8.0, 16.0, 40.0, 80.0, 150.0))
+    return sp.scalogram(t.signal, 1000, 8.0, 150.0, voices=2)
 
 
 @query("D40_spectral_properties")
