@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from cortexlake.functions import names as nm
 from cortexlake.operators import stats as st
-from cortexlake.operators.templates import REGIONS as REGION_ORDER
-from cortexlake.operators.templates import crop
-from cortexlake.plans.arrays import prctile_sql
 from cortexlake.operators.listings import directories, tree
+from cortexlake.operators.templates import ABOVE, BELOW, crop
+from cortexlake.plans.arrays import prctile_sql
 from cortexlake.plans.naming import padded, text
-from cortexlake.plans.registry import E, S, query
+from cortexlake.plans.registry import QUERIES, SQL, E, S, query
 
 
 @query("F15_clip", f"SELECT event_id, least(greatest(value, 10.0), 50.0) AS value FROM {E}")
@@ -255,11 +254,11 @@ def _(t):
     return one.unionByName(index.filter("region = '1-URGENT'").select(F.lit("by region").alias("mode"), F.col("event").cast("string").alias("found"), "n"))
 
 
-@query("R06_cropped_rows", "SELECT region, first_row, last_row FROM (VALUES " + ", ".join(f"('{r}', {4 + 5 * k}, {8 + 5 * k})" for k, r in enumerate(REGION_ORDER)) + ") x(region, first_row, last_row)")
+@query("R06_cropped_rows", f"""SELECT region, CAST(last_row - target + 1 AS INT) AS first_row, CAST(last_row AS INT) AS last_row FROM (SELECT region, target, sum(target) OVER (ORDER BY place) AS last_row FROM ({SQL["D36_golden_template"]})) WHERE region NOT IN ('{ABOVE}', '{BELOW}')""")
 def _(t):
-    """Regions five rows thick between two pads."""
-    rows = [(0, "ABOVE", 3), *((k + 1, r, 5) for k, r in enumerate(REGION_ORDER)), (len(REGION_ORDER) + 1, "BELOW", 21)]
-    return crop(t.spark.createDataFrame(rows, "place int, region string, target int")).select("region", F.col("first_row").cast("int").alias("first_row"), F.col("last_row").cast("int").alias("last_row"))
+    """Rows of the template's regions without its two pads."""
+    rows = crop(QUERIES["D36_golden_template"](t.spark, t.dir))
+    return rows.select("region", F.col("first_row").cast("int").alias("first_row"), F.col("last_row").cast("int").alias("last_row"))
 
 
 @query("R23_missing_outputs", "SELECT c.c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
@@ -267,9 +266,10 @@ def _(t):
     return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query("R25_probe_layout", "SELECT k AS contact, k // 8 AS shank, (k // 8) * 250.0 + (k % 2) * 20.0 AS x, ((k % 8) // 2) * 50.0 AS y FROM (SELECT unnest(generate_series(0, 31)) AS k)")
+@query("R25_probe_layout", f"SELECT k AS contact, k // 8 AS shank, (k // 8) * 250.0 + (k % 2) * 20.0 AS x, ((k % 8) // 2) * 50.0 AS y FROM (SELECT DISTINCT CAST(ch - 1 AS BIGINT) AS k FROM {S})")
 def _(t):
-    """Four shanks of two columns with eight contacts each, the group repeated with an offset."""
+    """The recorded channels on shanks of two columns with eight contacts each, the group repeated with an offset."""
+    contacts = t.signal.select((F.col("ch") - 1).cast("long").alias("id")).distinct()
     k, within = F.col("id"), F.col("id") % 8
     shank = F.floor(k / 8)
-    return t.spark.range(32).select(k.alias("contact"), shank.alias("shank"), (shank * 250.0 + (k % 2) * 20.0).alias("x"), (F.floor(within / 2) * 50.0).alias("y"))
+    return contacts.select(k.alias("contact"), shank.alias("shank"), (shank * 250.0 + (k % 2) * 20.0).alias("x"), (F.floor(within / 2) * 50.0).alias("y"))
