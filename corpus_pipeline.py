@@ -1,4 +1,8 @@
-"""The training-data pipeline: each stage works on what the one before it kept."""
+"""The training-data pipeline: each stage works on what the one before it kept.
+
+All but the last stage return the columns of their documents, extra ones too, and an empty table for an empty one. Texts are worked on
+whole, whatever their length; rows are judged one by one, so that nulls in other columns and ids that repeat or are null do no harm.
+"""
 
 from __future__ import annotations
 
@@ -17,27 +21,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; a null or empty text has no words and goes too. Repeated rows share their verdict."""
     return drop_rejected(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, the one with the smallest id; of repeated rows one. A null or empty text has no duplicate."""
     return one_of_each(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go, repeated rows together. A null or empty text has none, nor has an empty benchmark any."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; all documents stay."""
+    """Secrets are replaced by a mark; all documents stay, and a null text stays null."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes; one row per piece."""
+    """Where each piece of each document goes; one row per piece. A null text counts as empty, and repeated rows are packed one by one."""
     return best_fit_packing(docs)
 
 
