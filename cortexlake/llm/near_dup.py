@@ -358,9 +358,10 @@ def _named_texts(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``digest`` of the set, and the text, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node = [x for at, h in sets_of(b.column("text"), WORDS) for x in digests(at, h)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node, pa.binary()), pa.array(pack(b.column("text").to_pylist()), pa.binary())], ["doc_id", "digest", "packed"])
+        for whole in batches:
+            for b in (whole.slice(lo, 500) for lo in range(0, len(whole), 500)):
+                node = [x for at, h in sets_of(b.column("text"), WORDS) for x in digests(at, h)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node, pa.binary()), pa.array(pack(b.column("text").to_pylist()), pa.binary())], ["doc_id", "digest", "packed"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, packed binary")
 

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from cortexlake.llm.bytetext import chunks, distinct_in_text, mix, shingle_hashes
 
+#: Bytes of text hashed at a time; the arrays for them are some twenty times as large.
+AT_ONCE = 1 << 19
+
 
 def sets_of(texts: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For runs of texts, in order: where each text's hashes begin (one more: the end), and the distinct hashes."""
-    for c in chunks(texts):
+    for c in chunks(texts, AT_ONCE):
         w = c.words(lower=True)
         h, first = shingle_hashes(w, words)
         doc, h = distinct_in_text(w.doc[first], h)
