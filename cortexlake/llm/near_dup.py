@@ -27,7 +27,7 @@ from cortexlake.llm.bytetext import mix
 from cortexlake.llm.links import between, components, lists_of, pack, unpack, whole_groups
 from cortexlake.llm.scratch import numbered, written
 from cortexlake.llm.set_join import PackedTexts, heavy_order, joined, prefixed
-from cortexlake.llm.shingle_sets import digests, labelled, sets_of
+from cortexlake.llm.shingle_sets import digests, give_back, labelled, sets_of
 
 WORDS = 5
 #: Links need 100 * intersection >= percent * union.
@@ -74,6 +74,7 @@ def _sets(docs: DataFrame, signed: bool) -> DataFrame:
                 sig += _signatures(at, h) if signed else []
             cols = [b.column("doc_id"), pa.array(node, pa.binary()), pa.array(size, pa.int64()), *([pa.array(sig, pa.binary())] if signed else [])]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "n_shingles", "sig"][: len(cols)])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node binary, n_shingles long" + ", sig binary" * signed)
 
@@ -362,6 +363,7 @@ def _named_texts(docs: DataFrame) -> DataFrame:
             for b in (whole.slice(lo, 500) for lo in range(0, len(whole), 500)):
                 node = [x for at, h in sets_of(b.column("text"), WORDS) for x in digests(at, h)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node, pa.binary()), pa.array(pack(b.column("text").to_pylist()), pa.binary())], ["doc_id", "digest", "packed"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, packed binary")
 

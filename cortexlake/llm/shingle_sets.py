@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,14 @@ from cortexlake.llm.bytetext import chunks, distinct_in_text, mix, shingle_hashe
 AT_ONCE = 1 << 19
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system at a task's end: Python workers live on through later stages, and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def sets_of(texts: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For runs of texts, in order: where each text's hashes begin (one more: the end), and the distinct hashes."""
     for c in chunks(texts, AT_ONCE):
