@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cortexlake.operators.stages import settled
+
 #: Ranges that a group's values are cut into when they are ranked.
 RANGES = 64
 
@@ -32,11 +34,12 @@ def _at_rank(df: DataFrame, keys: Sequence[str], value: str, place, name: str) -
 
     Exact and without gathering a group: values are counted and cut into RANGES ranges per group by approximate quantiles; ranks are
     running sums inside a range, and only the ranges' sizes are summed over a group. Just the two neighbouring ranks are kept.
+    The cuts depend on the order in which values come, so they are written once for both of their uses.
     """
     counts = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     keyed = counts.withColumn("_one", F.lit(1))
     by = [*keys, "_one"]
-    cuts = keyed.groupBy(*by).agg(F.percentile_approx("_v", [k / RANGES for k in range(1, RANGES)], 4 * RANGES).alias("_cuts"))
+    cuts = settled(keyed.groupBy(*by).agg(F.percentile_approx("_v", [k / RANGES for k in range(1, RANGES)], 4 * RANGES).alias("_cuts")), "rank-cuts")
     ranged = keyed.join(cuts, by) if keys else keyed.join(F.broadcast(cuts), "_one").select(*keyed.columns, "_cuts")
     ranged = ranged.withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))).drop("_cuts")
     inside = ranged.withColumn("_in", F.sum("_n").over(Window.partitionBy(*by, "_range").orderBy("_v")))
@@ -62,13 +65,15 @@ def quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str
 
 
 def place_descending(df: DataFrame, value: str, tie: str, name: str = "place") -> DataFrame:
-    """Each row's place from 1 by falling ``value``, equal ones by rising numeric ``tie``; neither may be null.
+    """Each row's place from 1 by falling ``value``, equal ones by rising numeric ``tie``, a null one last; ``value`` may not be null.
 
     No task sorts all rows: rows of equal value are cut into RANGES ranges of the tie and numbered inside them, and only the
-    ranges' sizes, RANGES for each distinct value, are summed over the whole.
+    ranges' sizes, RANGES for each distinct value, are summed over the whole. The cuts depend on the order in which rows come,
+    so they are written once for both of their uses.
     """
-    cuts = df.groupBy(value).agg(F.percentile_approx(tie, [k / RANGES for k in range(1, RANGES)], 4 * RANGES).alias("_cuts"))
-    ranged = df.join(cuts, value).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col(tie)))).drop("_cuts")
+    cuts = settled(df.groupBy(value).agg(F.percentile_approx(tie, [k / RANGES for k in range(1, RANGES)], 4 * RANGES).alias("_cuts")), "place-cuts")
+    place = F.when(F.col(tie).isNull(), RANGES).otherwise(F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c <= F.col(tie))))
+    ranged = df.join(cuts, value).withColumn("_range", place).drop("_cuts")
     sizes = ranged.groupBy(value, "_range").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy(F.desc(value), "_range")) - F.col("_size")).drop("_size")
     inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy(value, "_range").orderBy(tie)))

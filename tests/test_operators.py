@@ -144,3 +144,23 @@ def test_places_by_falling_value_with_ties(spark):
     got = stats.place_descending(spark.createDataFrame(rows, "id long, n long"), "n", "id").collect()
     want = {k: i + 1 for i, (k, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
     assert {r.id: r.place for r in got} == want
+
+
+def test_places_do_not_depend_on_the_order_in_which_rows_come(spark):
+    """Rows come in a new order whenever they are read, as they do over a network; ids may be null."""
+    import pyarrow as pa
+
+    def shuffled(batches):
+        for b in batches:
+            yield b.take(pa.array(np.random.default_rng().permutation(len(b))))
+
+    rows = spark.range(60_000, numPartitions=6).select(F.when(F.col("id") > 2, F.col("id")).alias("id"), F.lit(1).alias("n")).filter("id is not null")
+    rows = rows.unionByName(spark.createDataFrame([(None, 1), (7, 2)], "id long, n int")).mapInArrow(shuffled, "id long, n int")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = stats.place_descending(rows, "n", "id").collect()
+        middle = stats.quantile(rows.withColumn("v", F.col("id") * 1.0), ["n"], "v", 0.37).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert sorted((r.place, r.id, r.n) for r in got if r.id) == [(1, 7, 2), *((k - 1, k, 1) for k in range(3, 60_000))] and [r.place for r in got if r.id is None] == [59_999]
+    assert all(abs(r.p - {1: 3 + 0.37 * 59_996, 2: 7.0}[r.n]) < 1e-6 for r in middle) and len(middle) == 2
