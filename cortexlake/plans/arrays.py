@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cortexlake.operators import event_blocks as eb
 from cortexlake.operators import events as ev
 from cortexlake.operators import signals as sg
 from cortexlake.operators import spectral as sp
@@ -82,13 +83,13 @@ WINDOWS = f"(SELECT a.vec_id AS ev, o.off, s.ch, s.v FROM embeddings a CROSS JOI
 @query("J12_event_windows", f"SELECT ev, off, ch, v FROM {WINDOWS}")
 def _(t):
     anchors = t.embeddings.select(F.col("vec_id").alias("ev"), F.col("vec_id").alias("at"))
-    return sg.event_windows(t.signal, anchors, 5).filter("ch is not null")
+    return eb.window_rows(t.samples, anchors, 5)
 
 
 @query("A10_window_averages", f"SELECT ch, off, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, count(v) AS n FROM {WINDOWS} GROUP BY ch, off")
 def _(t):
     anchors = t.embeddings.select(F.col("vec_id").alias("ev"), F.col("vec_id").alias("at"))
-    out = sg.average_windows(sg.event_windows(t.signal, anchors, 5))
+    out = sg.average_windows(eb.window_rows(t.samples, anchors, 5))
     return out.select("ch", "off", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "n")
 
 
@@ -228,7 +229,7 @@ def _(t):
 @query("R08_event_limits", f"SELECT ev, round(p, 6) AS p FROM ({prctile_sql(f'(SELECT ev, abs(v) AS v FROM {WINDOWS})', 0.99, 'p', 'ev')})")
 def _(t):
     anchors = t.embeddings.select(F.col("vec_id").alias("ev"), F.col("vec_id").alias("at"))
-    w = sg.event_windows(t.signal, anchors, 5).withColumn("v", F.abs("v"))
+    w = eb.window_rows(t.samples, anchors, 5).withColumn("v", F.abs("v"))
     return st.prctile(w, ["ev"], "v", 99.0).select("ev", F.round("p", 6).alias("p"))
 
 
@@ -245,8 +246,7 @@ def _(t):
 @query("R31_strict_windows", f"SELECT ev, ch FROM {WINDOWS} GROUP BY ev, ch HAVING bool_and(v < 3)")
 def _(t):
     anchors = t.embeddings.select(F.col("vec_id").alias("ev"), F.col("vec_id").alias("at"))
-    w = sg.event_windows(t.signal, anchors, 5).filter("ch is not null")
-    return w.groupBy("ev", "ch").agg(F.bool_and(F.col("v") < 3).alias("ok")).filter("ok").select("ev", "ch")
+    return eb.windows_below(t.samples, anchors, 5, 3.0)
 
 
 @query("D34_template_warp", f"""WITH p AS (SELECT label AS session, CASE WHEN ch <= 10 THEN 'A' WHEN ch <= 25 THEN 'B' ELSE 'C' END AS region, ch - CASE WHEN ch <= 10 THEN 0 WHEN ch <= 25 THEN 10 ELSE 25 END AS pos, avg(v) AS v FROM {S} GROUP BY ALL),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cortexlake.operators import event_blocks as eb
 from cortexlake.operators import peaks as pk
 from cortexlake.operators import signals as sg
 from cortexlake.operators import smoothing as sm
@@ -23,7 +24,11 @@ def anchors(t: Tables):
 
 
 def windows(t: Tables, half: int = 5):
-    return sg.event_windows(t.signal, anchors(t), half).filter("ch is not null")
+    return eb.window_rows(t.samples, anchors(t), half)
+
+
+def reference(t: Tables):
+    return sg.event_windows(t.signal.filter(F.col("ch") == REFERENCE), anchors(t), 5).filter("ch is not null")
 
 
 def widths_sql(trace: str, key: str, by: str, level: str) -> str:
@@ -110,8 +115,8 @@ def _(t):
 @query("D24_whole_snippets", f"SELECT ev, ch, round(sum(v), 5) AS total, round(arg_min(v, off), 6) AS first_v, round(arg_max(v, off), 6) AS last_v FROM {EVENTS} GROUP BY ev, ch HAVING count(*) = 11")
 def _(t):
     """Snippets that run past an end of the recording are left out."""
-    each = windows(t).groupBy("ev", "ch").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 5).alias("total"), F.round(F.min_by("v", "off"), 6).alias("first_v"), F.round(F.max_by("v", "off"), 6).alias("last_v"))
-    return each.filter("n = 11").drop("n")
+    each = eb.whole_windows(t.samples, anchors(t), 5)
+    return each.select("ev", "ch", F.round("total", 5).alias("total"), F.round("first_v", 6).alias("first_v"), F.round("last_v", 6).alias("last_v"))
 
 
 @query("D25_mean_trace_peak", widths_sql(f"(SELECT ch, off, round(avg(v), 9) AS v FROM {EVENTS} GROUP BY ch, off)", "ch", "abs", "height"))
@@ -121,12 +126,12 @@ def _(t):
 
 @query("D26_event_peaks", widths_sql(f"(SELECT ev, off, v FROM {EVENTS} WHERE ch = {REFERENCE})", "ev", "max", "height"))
 def _(t):
-    return widths(windows(t).filter(F.col("ch") == REFERENCE), "ev", "max", "height")
+    return widths(reference(t), "ev", "max", "height")
 
 
 @query("D27_half_prominence", widths_sql(f"(SELECT ev, off, v FROM {EVENTS} WHERE ch = {REFERENCE})", "ev", "max", "prominence"))
 def _(t):
-    return widths(windows(t).filter(F.col("ch") == REFERENCE), "ev", "max", "prominence")
+    return widths(reference(t), "ev", "max", "prominence")
 
 
 @query("W15_half_width", widths_sql(f"(SELECT label AS k, ch AS off, round(avg(v), 9) AS v FROM {S} GROUP BY label, ch)", "k", "max", "height"))

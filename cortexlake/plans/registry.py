@@ -33,6 +33,11 @@ class Tables:
         t = F.expr(f"timestampdiff(MICROSECOND, {epoch}'1970-01-01 00:00:00', ts)")
         return e.select(F.col("user_id").alias("session"), F.col("event_type").alias("code"), t.alias("t"), "event_id", "value", "props")
 
+    @property
+    def samples(self) -> DataFrame:
+        """The signal with all channels of a sample in one row."""
+        return self.embeddings.select(F.col("vec_id").alias("i"), F.col("embedding").alias("xs"))
+
     @property
     def signal(self) -> DataFrame:
         return self.embeddings.select(F.col("vec_id").alias("i"), "label", F.posexplode("embedding").alias("pos", "x")).select("i", (F.col("pos") + 1).alias("ch"), F.col("x").cast("double").alias("v"), "label")
