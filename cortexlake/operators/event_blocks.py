@@ -112,6 +112,24 @@ def whole_windows(samples: DataFrame, anchors: DataFrame, half: int) -> DataFram
     return over_windows(samples, anchors, half, each, "ev long, ch int, total double, first_v double, last_v double")
 
 
+def mean_of_window_means(samples: DataFrame, anchors: DataFrame, half: int, parts: dict[str, tuple[int, int]]) -> DataFrame:
+    """``ch`` and, for each part from one offset to another, the mean over events of each event's mean; null without a value."""
+
+    def each(w: Windows) -> dict[str, pa.Array]:
+        ch = np.flatnonzero(w.there.any(axis=0))
+        out = {"ch": pa.array(ch + 1, pa.int32())}
+        for name, (lo, hi) in parts.items():
+            inside = w.known & ((w.off >= lo) & (w.off <= hi))[:, None]
+            n, total = w.counts(inside), w.sums(inside)
+            out[f"{name}_sum"] = pa.array((total / np.maximum(n, 1)).sum(axis=0)[ch], pa.float64())
+            out[f"{name}_n"] = pa.array((n > 0).sum(axis=0)[ch], pa.int64())
+        return out
+
+    schema = ", ".join(["ch int", *(f"{p}_sum double, {p}_n long" for p in parts)])
+    sums = over_windows(samples, anchors, half, each, schema)
+    return sums.groupBy("ch").agg(*((F.sum(f"{p}_sum") / F.nullif(F.sum(f"{p}_n"), F.lit(0))).alias(p) for p in parts))
+
+
 def windows_below(samples: DataFrame, anchors: DataFrame, half: int, limit: float) -> DataFrame:
     """``ev, ch`` of windows that have a value and none that isn't below the limit."""
 

@@ -160,9 +160,8 @@ def _(t):
 
 @query("D31_window_means", f"SELECT ch, round(avg(near), 6) AS ground_zero, round(avg(late), 6) AS after_spike FROM (SELECT ev, ch, avg(v) FILTER (off BETWEEN -1 AND 1) AS near, avg(v) FILTER (off BETWEEN 2 AND 5) AS late FROM {EVENTS} GROUP BY ev, ch) GROUP BY ch")
 def _(t):
-    mean = lambda lo, hi: F.avg(F.when(F.col("off").between(lo, hi), F.col("v")))
-    each = windows(t).groupBy("ev", "ch").agg(mean(-1, 1).alias("near"), mean(2, 5).alias("late"))
-    return each.groupBy("ch").agg(F.round(F.avg("near"), 6).alias("ground_zero"), F.round(F.avg("late"), 6).alias("after_spike"))
+    each = eb.mean_of_window_means(t.samples, anchors(t), 5, {"near": (-1, 1), "late": (2, 5)})
+    return each.select("ch", F.round("near", 6).alias("ground_zero"), F.round("late", 6).alias("after_spike"))
 
 
 @query("D33_normalised_density", f"SELECT i, ch, round(csd, 6) AS csd, round(f, 6) AS filtered, round(f / nullif(max(abs(f)) OVER (PARTITION BY i), 0), 6) AS normalised FROM (SELECT i, ch, csd, 0.25 * lag(csd) OVER w + 0.5 * csd + 0.25 * lead(csd) OVER w AS f FROM (SELECT * FROM {CSD} WHERE csd IS NOT NULL) WINDOW w AS (PARTITION BY i ORDER BY ch))")

@@ -10,7 +10,7 @@ import pytest
 from cortexlake import plans
 
 DATA = "/root/testdata/sf0.001"
-SHARED = ["D24_whole_snippets", "J12_event_windows", "R31_strict_windows", "A10_window_averages"]
+SHARED = ["D24_whole_snippets", "D31_window_means", "J12_event_windows", "R31_strict_windows", "A10_window_averages"]
 
 
 @pytest.fixture(scope="module")
