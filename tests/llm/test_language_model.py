@@ -139,3 +139,15 @@ def test_odd_rows_and_nothing(spark):
     alone = spark.createDataFrame([(None, "Only held out")], "doc_id long, text string")
     (r,) = score_texts(alone).collect()
     assert r.held_out and r.train_tokens == 0 and r.n_known == 0 and r.score == 0
+
+
+def test_words_beyond_the_frequent_ones_have_contexts_and_dishes_of_their_own(spark, monkeypatch):
+    """However few words are broadcast, and however many blocks the others lie in, a text's score is the same."""
+    d = documents(spark).limit(60).cache()
+    scores = []
+    for frequent, per_rare in ((1 << 18, 1 << 19), (40, 500), (40, 1 << 19), (0, 2000)):
+        monkeypatch.setattr(language_model, "FREQUENT", frequent)
+        monkeypatch.setattr(language_model, "PER_RARE", per_rare, raising=False)
+        scores.append(sorted((r.doc_id, r.score, r.base_score, r.n_known) for r in score_texts(d).collect()))
+    for other in scores[1:]:
+        assert np.allclose(np.array(scores[0]), np.array(other), rtol=1e-6)
